@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from polargrain.llm import exact_dedup
+from polargrain.llm import exact_dedup, piece_codec, token_output
 
-QUERIES = {"op10_exact_dedup": exact_dedup.op10_exact_dedup}
+QUERIES = {
+    "op3_token_output": token_output.op3_token_output,
+    "op4_sentencepiece": piece_codec.op4_sentencepiece,
+    "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+}
 ORACLE_SQL = {"op10_exact_dedup": exact_dedup.OP10_SQL}
