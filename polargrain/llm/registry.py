@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from polargrain.llm import exact_dedup, pii, piece_codec, token_output
+from polargrain.llm import exact_dedup, language_id, pii, piece_codec, quality_crf, token_output
 
 QUERIES = {
     "op3_token_output": token_output.op3_token_output,
     "op4_sentencepiece": piece_codec.op4_sentencepiece,
+    "op5_language_id": language_id.op5_language_id,
     "op7_pii": pii.op7_pii,
+    "op9_quality": quality_crf.op9_quality,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLE_SQL = {"op10_exact_dedup": exact_dedup.OP10_SQL}
