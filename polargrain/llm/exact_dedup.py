@@ -58,6 +58,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay: one of every group of equal texts.
+
+    Rows are joined to the decisions by digest and id together, so the copies of a hot text
+    spread over all tasks; rows that repeat the staying id and text are reduced to one.
+    """
+    decided = cut(decisions(normalised(docs, id_col, text_col), salts), "exact-dedup").select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep"))
+    columns = docs.columns
+    marked = docs.withColumn("_key", F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256))
+    stays = (marked["_key"] == decided["_digest"]) & marked[id_col].eqNullSafe(decided["_keep"])
+    return marked.join(decided, stays, "left_semi").dropDuplicates(["_key", id_col]).select(*columns)
+
+
 def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 

@@ -221,6 +221,19 @@ def digest_documents(docs: DataFrame, model_path: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, RESULT)
 
 
+def encoded_documents(docs: DataFrame, model_path: str) -> DataFrame:
+    """Per row: doc_id, its ids, their number, and whether the decoded ids give the text back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc_ids, texts in _batches(batches):
+            ids = [a for a, _ in codec(model_path).encode(texts)]
+            same = [d == t for d, t in zip(codec(model_path).decode(ids), texts, strict=True)]
+            columns = [pa.array(doc_ids, pa.int64()), pa.array([a.astype(np.int32) for a in ids], pa.list_(pa.int32())), pa.array([len(a) for a in ids], pa.int64()), pa.array(same)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "n_tokens", "round_trip"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, round_trip boolean")
+
+
 def op4_sentencepiece(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -246,6 +247,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 THRESHOLD = 0.7
 
 
+def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, that score at least ``threshold``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            scores = [score_texts(model, held) for held in slices(texts, len, 2_000_000)]
+            yield batch.filter(pa.array(np.concatenate(scores) >= threshold)) if scores else batch
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_quality(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")))

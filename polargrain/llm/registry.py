@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from polargrain.llm import decontaminate, exact_dedup, language_id, pii, piece_codec, quality_crf, simhash, token_output, warc
+import corpus_pipeline
+from polargrain.llm import decontaminate, exact_dedup, language_id, pii, piece_codec, quality_crf, simhash, substring_dedup, token_output, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -12,8 +13,10 @@ QUERIES = {
     "op5_language_id": language_id.op5_language_id,
     "op6_decontamination": decontaminate.op6_decontamination,
     "op7_pii": pii.op7_pii,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_quality": quality_crf.op9_quality,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {
     "op1_warc": warc.OP1_SQL,

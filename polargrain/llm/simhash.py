@@ -243,5 +243,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     return marked.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def representatives(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
+    """The rows of ``docs``, all columns, whose doc_id names their component.
+
+    A doc_id identifies a document: rows that repeat one stay or go together.
+    """
+    heads = near_duplicates(docs, shingle, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_head"))
+    return docs.join(heads, docs["doc_id"].eqNullSafe(F.col("_head")), "left_semi")
+
+
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
