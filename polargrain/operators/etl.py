@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import io
+import tarfile
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs as pa_fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -49,6 +56,48 @@ def write_shards(dense: DataFrame, assignment: DataFrame, path: str, split: str,
     out.repartition("shard").write.mode(mode).partitionBy("split", "shard").parquet(path)
 
 
+def write_tar_shards(dense: DataFrame, assignment: DataFrame, folder: str, keys: tuple[str, ...] = ("seq_id", "frame")) -> DataFrame:
+    """(shard, path, samples) of tar files with ``NNNNNN.ri`` and ``NNNNNN.li`` members.
+
+    A shard's samples are sorted into one partition and streamed to ``folder``, which all
+    executors must see; a file appears under its name only when it is complete.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pa_fs.FileSystem.from_uri(folder) if "://" in folder else (pa_fs.LocalFileSystem(), folder.removeprefix("file:"))
+        fs.create_dir(base, recursive=True)
+        tar = out = number = None
+        n, done = 0, []
+
+        def finish() -> None:
+            tar.close()
+            out.close()
+            name = f"shard-{number:06d}.tar"
+            fs.move(f"{base}/{token}", f"{base}/{name}")
+            done.append((number, f"{folder.rstrip('/')}/{name}", n))
+
+        for batch in batches:
+            for shard, sample, image, label in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                if shard != number:
+                    if tar is not None:
+                        finish()
+                    number, n, token = shard, 0, uuid.uuid4().hex
+                    out = fs.open_output_stream(f"{base}/{token}", compression=None)
+                    tar = tarfile.open(fileobj=out, mode="w|")
+                for suffix, data in (("ri", image), ("li", label)):
+                    info = tarfile.TarInfo(f"{sample:06d}.{suffix}")
+                    info.size = len(data)
+                    tar.addfile(info, io.BytesIO(data))
+                n += 1
+        if tar is not None:
+            finish()
+        yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64()))], ["shard", "path", "samples"])
+
+    joined = dense.join(assignment, list(keys)).select("shard", F.col("sample").cast("long"), "image", "labels", *keys)
+    ordered = joined.repartition("shard").sortWithinPartitions("shard", *keys).select("shard", "sample", "image", "labels")
+    return ordered.mapInArrow(write, "shard long, path string, samples long")
+
+
 def shard_metadata(kept: DataFrame, split: str = "split", keys: tuple[str, ...] = ("seq_id", "frame")) -> DataFrame:
     """One row: frames by split, class counts over all splits and their weights."""
     frames = kept.groupBy().agg(*[F.count_distinct(F.when(F.col(split) == s, F.struct(*keys))).alias(f"n_{s}") for s in ("train", "val")], F.array_sort(F.collect_set("seq_id")).alias("sequences"))

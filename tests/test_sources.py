@@ -64,6 +64,10 @@ def test_training_etl(spark, root, tmp_path):
     assert back.count() == 6 and {r.shard for r in back.select("shard").distinct().collect()} == {0, 1}
     with pytest.raises(Exception, match="(?i)exist"):
         etl.write_shards(dense, assignment, str(tmp_path / "shards"), "train")
+    tars = etl.write_tar_shards(dense, assignment.filter("seq_id = '00'"), str(tmp_path / "tars")).collect()
+    assert [(r.shard, r.samples) for r in tars] == [(0, 3)]
+    want = sorted((bytes(r.image), bytes(r.labels)) for r in dense.filter("seq_id = '00'").collect())
+    assert sorted((bytes(r.image), bytes(r.labels)) for r in kitti.read_tar_shards(spark, str(tmp_path / "tars")).collect()) == want
     meta = etl.shard_metadata(kept.withColumn("split", F.when(F.col("seq_id") == "08", "val").otherwise("train"))).first()
     assert (meta.n_train, meta.n_val, meta.sequences) == (3, 3, ["00", "08"]) and sum(meta.class_counts) == kept.count()
     a = [r.frame for r in etl.shuffled_samples(assignment, 1).collect()]
