@@ -49,8 +49,8 @@ def size_label(kb: Column) -> Column:
 
 
 def log_bar_width(kb: Column) -> Column:
-    logs = F.log10(F.greatest(kb, F.lit(1.0)))
-    return 18 + logs / (logs + 1) * 55
+    logs = F.log10(kb)
+    return F.when(kb > 0, F.least(F.lit(100.0), 18 + logs / (logs + 1) * 55)).otherwise(F.lit(0.0))
 
 
 def clock_label(seconds: Column) -> Column:
