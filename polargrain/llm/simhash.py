@@ -5,7 +5,8 @@ by one space; XXH64 with seed 42; a bit is set if set in over half of the hashes
 fingerprints are one node. Nodes that differ in at most ``radius`` bits are linked:
 
 * Distribution: the 64 bits are cut into ``radius + 2`` blocks; two linked fingerprints agree
-  on at least two blocks, so they meet under the key of one of the block pairs.
+  on at least two blocks, so they meet under the key of one of the block pairs. Keys that
+  too many fingerprints share are dealt anew by longer keys.
 * Index: within a key, fingerprints are sorted by Gray rank (neighbours differ in few bits),
   every eight consecutive nodes get a parent that holds the bit pattern they share, and a
   node keeps only the shared bits that its parent does not hold. A search walks down from
@@ -163,15 +164,14 @@ def forest(codes: np.ndarray, group_starts: np.ndarray, radius: int, chunk: int
     return linked, root[linked]
 
 
-def block_keys(fp: str, radius: int) -> F.Column:
-    """Array of keys: for each pair of blocks the pair's number and its bits."""
-    n = radius + 2
-    cuts = [64 * k // n for k in range(n + 1)]
+def block_keys(fp: str, radius: int, blocks: int) -> F.Column:
+    """Array of keys: for each choice of ``blocks - radius`` blocks its number and its bits."""
+    cuts = [64 * k // blocks for k in range(blocks + 1)]
     keys = []
-    for number, pair in enumerate(combinations(range(n), 2)):
-        mask = sum(((1 << cuts[k + 1]) - 1) & ~((1 << cuts[k]) - 1) for k in pair)
+    for number, chosen in enumerate(combinations(range(blocks), blocks - radius)):
+        mask = sum(((1 << cuts[k + 1]) - 1) & ~((1 << cuts[k]) - 1) for k in chosen)
         signed = mask - (1 << 64) if mask >> 63 else mask
-        keys.append(F.struct(F.lit(number).alias("pair"), F.col(fp).bitwiseAND(F.lit(signed)).alias("bits")))
+        keys.append(F.struct(F.lit(number).alias("choice"), F.col(fp).bitwiseAND(F.lit(signed)).alias("bits")))
     return F.array(*keys)
 
 
@@ -188,9 +188,12 @@ def fingerprint_documents(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def link_fingerprints(fps: DataFrame, radius: int = 2, block: int = 200_000) -> DataFrame:
-    """Edges (a, b) that connect exactly the distinct ``fp`` within ``radius`` bits, directly or by others."""
-    keyed = fps.select("fp", F.explode(block_keys("fp", radius)).alias("k")).select("k.pair", "k.bits", "fp")
+def _keyed(fps: DataFrame, radius: int, blocks: int) -> DataFrame:
+    return fps.select("fp", F.explode(block_keys("fp", radius, blocks)).alias("k")).select("k.choice", "k.bits", "fp")
+
+
+def _linked(keyed: DataFrame, radius: int, block: int = 200_000) -> DataFrame:
+    """Spanning edges (a, b) of the links within each key's fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -227,14 +230,30 @@ def link_fingerprints(fps: DataFrame, radius: int = 2, block: int = 200_000) ->
         if size:
             yield links(np.concatenate(held, 1))
 
-    return keyed.repartition("pair", "bits").sortWithinPartitions("pair", "bits").mapInArrow(run, "a long, b long")
+    return keyed.repartition("choice", "bits").sortWithinPartitions("choice", "bits").mapInArrow(run, "a long, b long")
+
+
+def link_fingerprints(fps: DataFrame, radius: int = 2, hot: int = 500_000) -> DataFrame:
+    """Edges (a, b) that connect exactly the distinct ``fp`` within ``radius`` bits, directly or by others.
+
+    Keys with over ``hot`` fingerprints are not searched as one group: their fingerprints are
+    keyed anew by more and longer choices of blocks, which find every link among them.
+    """
+    keyed = _keyed(fps, radius, radius + 2)
+    crowded = keyed.groupBy("choice", "bits").count().filter(F.col("count") > hot).select("choice", "bits")
+    if crowded.isEmpty():
+        return _linked(keyed, radius)
+    crowded = cut(crowded, "crowded-keys")
+    apart = keyed.join(crowded, ["choice", "bits"], "left_anti").select("choice", "bits", "fp")
+    again = keyed.join(crowded, ["choice", "bits"], "left_semi").select("fp").distinct()
+    return _linked(apart, radius).unionByName(_linked(_keyed(again, radius, radius + 4), radius))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, hot: int = 500_000) -> DataFrame:
     """Per row: doc_id, fingerprint (16 hex digits), component_id (least doc_id of its component)."""
     marked = cut(fingerprint_documents(docs, shingle), "fingerprints")
     nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    tree = components(link_fingerprints(nodes.select("fp"), radius))
+    tree = components(link_fingerprints(nodes.select("fp"), radius, hot))
     member = tree.unionByName(tree.select(F.col("root").alias("node"), "root").distinct())
     named = member.join(nodes.withColumnRenamed("fp", "node"), "node")
     heads = named.groupBy("root").agg(F.min("least").alias("head"))
@@ -248,8 +267,8 @@ def representatives(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
 
     A doc_id identifies a document: rows that repeat one stay or go together.
     """
-    heads = near_duplicates(docs, shingle, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_head"))
-    return docs.join(heads, docs["doc_id"].eqNullSafe(F.col("_head")), "left_semi")
+    heads = near_duplicates(docs, shingle, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__head"))
+    return docs.join(heads, docs["doc_id"].eqNullSafe(heads["__head"]), "left_semi")
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:

@@ -63,11 +63,26 @@ def test_documents_equal_brute_force(spark, sf_dir):
     base = texts[0].split()
     texts += [None, "", " \t\n", "one", "One two", "one  TWO", "É é", " ".join(base), " ".join(base[:-1]), " ".join(base[1:]), "x y z " * 3000]
     docs = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)] + [(None, "one", 7)], "doc_id long, text string, fp int")
-    rows = simhash.near_duplicates(docs).collect()
-    assert len(rows) == len(texts) + 1
     fps = [brute_fp(t) for t in texts]
     want = brute_components(fps, 2)
+    rows = simhash.near_duplicates(docs).collect()
+    assert len(rows) == len(texts) + 1
     for r in rows:
         k = texts.index("one") if r.doc_id is None else r.doc_id
         assert (int(r.fingerprint, 16), r.component_id) == (fps[k], want[k])
     assert simhash.near_duplicates(docs.limit(0)).collect() == []
+
+
+def test_crowded_keys_lose_no_link(spark):
+    rng = np.random.default_rng(9)
+    centers = rng.integers(0, 2**63, 6, dtype=np.uint64)
+    codes = np.concatenate([centers[rng.integers(0, 6, 200)] ^ (np.uint64(1) << rng.integers(0, 64, 200, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 200, dtype=np.uint64)), rng.integers(0, 2**63, 50, dtype=np.uint64)])
+    codes = np.unique(codes)
+    want = brute_components([int(c) for c in codes], 2)
+    fps = spark.createDataFrame([(int(c),) for c in codes.view(np.int64)], "fp long")
+    for hot in (500_000, 3):
+        root = {r.node: r.root for r in components(simhash.link_fingerprints(fps, 2, hot)).collect()}
+        groups = {}
+        for c, w in zip(codes.view(np.int64).tolist(), want):
+            groups.setdefault(w, set()).add(root.get(c, c))
+        assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
