@@ -64,11 +64,11 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Rows are joined to the decisions by digest and id together, so the copies of a hot text
     spread over all tasks; rows that repeat the staying id and text are reduced to one.
     """
-    decided = cut(decisions(normalised(docs, id_col, text_col), salts), "exact-dedup").select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep"))
+    decided = cut(decisions(normalised(docs, id_col, text_col), salts), "exact-dedup").select(F.col("digest").alias("__stay_digest"), F.col("keep_id").alias("__stay_id"))
     columns = docs.columns
-    marked = docs.withColumn("_key", F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256))
-    stays = (marked["_key"] == decided["_digest"]) & marked[id_col].eqNullSafe(decided["_keep"])
-    return marked.join(decided, stays, "left_semi").dropDuplicates(["_key", id_col]).select(*columns)
+    marked = docs.withColumn("__own_digest", F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256))
+    stays = (marked["__own_digest"] == decided["__stay_digest"]) & marked[id_col].eqNullSafe(decided["__stay_id"])
+    return marked.join(decided, stays, "left_semi").dropDuplicates(["__own_digest", id_col]).select(*columns)
 
 
 def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:

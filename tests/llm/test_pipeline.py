@@ -57,3 +57,14 @@ def test_stages_of_an_empty_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf_dir).collect() == [], name
+
+
+def test_stages_keep_extra_columns(spark, sf_dir):
+    names = ("digest", "norm", "fp", "_key", "keep_id", "label", "score", "salt", "component_id", "_head", "least", "item_id", "h")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id < 60")
+    docs = docs.withColumns({n: docs["n_chars"].cast("string") for n in names}).drop("source")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns, name
+        assert out.filter("cast(n_chars as string) <> keep_id").count() == 0 and out.count() > 30
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == docs.count()
