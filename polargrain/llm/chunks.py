@@ -13,28 +13,50 @@ class ChunkCache:
     ``limit`` chunks each bound the memory; long chunks are never kept.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 250_000, longest: int = 64):
-        self.encode, self.limit, self.longest = encode, limit, longest
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 250_000, longest: int = 64, split: Callable[[str], tuple[str, ...]] | None = None):
+        self.encode, self.limit, self.longest, self.split = encode, limit, longest, split
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def _cached(self, chunk: str) -> bytes | None:
+        ids = self.young.get(chunk)
+        if ids is None:
+            ids = self.old.get(chunk)
+            if ids is not None:
+                self.young[chunk] = ids
+        return ids
+
     def lookup(self, texts: Iterable[list[str]]) -> dict[str, bytes]:
-        """A mapping that holds every chunk of ``texts`` (lists of chunks)."""
-        found, missing = {}, []
+        """A mapping that holds every chunk of ``texts`` (lists of chunks).
+
+        ``split`` may name the parts of a chunk whose ids follow one another; then only the
+        parts are kept.
+        """
+        found: dict[str, bytes] = {}
+        missing, joined, parts = [], [], set()
         for chunk in set().union(*texts):
-            ids = self.young.get(chunk)
-            if ids is None:
-                ids = self.old.get(chunk)
-                if ids is None:
-                    missing.append(chunk)
-                    continue
-                self.young[chunk] = ids
-            found[chunk] = ids
+            ids = self._cached(chunk)
+            if ids is not None:
+                found[chunk] = ids
+            elif self.split and len(own := self.split(chunk)) > 1:
+                joined.append((chunk, own))
+                parts.update(own)
+            else:
+                missing.append(chunk)
+        known = found.keys() | set(missing)
+        for part in parts - known:
+            ids = self._cached(part)
+            if ids is not None:
+                found[part] = ids
+            else:
+                missing.append(part)
         if missing:
             for chunk, ids in zip(missing, self.encode(missing), strict=True):
                 found[chunk] = ids
                 if len(chunk) <= self.longest:
                     self.young[chunk] = ids
+        for chunk, own in joined:
+            found[chunk] = b"".join(map(found.__getitem__, own))
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
         return found

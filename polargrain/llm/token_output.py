@@ -56,10 +56,32 @@ def _cache(tokenizer_path: str) -> ChunkCache:
         def encode(chunks: list[str]) -> list[bytes]:
             return [np.asarray(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(chunks, add_special_tokens=False)]
 
-        _tokenizers[tokenizer_path] = ChunkCache(encode)
+        _tokenizers[tokenizer_path] = ChunkCache(encode, limit=400_000, split=_parts)
     return _tokenizers[tokenizer_path]
 
 
+def _parts(chunk: str) -> tuple[str, ...]:
+    """Punctuation after a letter is a token group of its own, so it can be tokenised apart."""
+    core = chunk.rstrip(".,!?;:")
+    return (core, chunk[len(core) :]) if len(core) < len(chunk) and core[-1:].isalpha() else (chunk,)
+
+
+def _folded(text: str) -> str:
+    """The text lower-cased where that is all the tokenizer's normaliser would do to it.
+
+    Latin-1 texts are unchanged by NFC and have one-to-one lower case; special tokens are
+    matched before normalisation, so texts that may hold one stay as they are.
+    """
+    if "<|" in text:
+        return text
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+    return text.lower()
+
+
 def encode_texts(texts: list[str | None], tokenizer_path: str, end_id: int) -> list[np.ndarray]:
     """Ids (32-bit) of every text, the end id appended.
 
@@ -67,7 +89,7 @@ def encode_texts(texts: list[str | None], tokenizer_path: str, end_id: int) -> l
     and line feeds and each chunk is tokenised once.
     """
     cache, end = _cache(tokenizer_path), np.asarray([end_id], "<u4").tobytes()
-    split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+    split = [_folded(t or "").replace("\n", " ").split(" ") for t in texts]
     ids = cache.lookup(split)
     return [np.frombuffer(b"".join([*map(ids.__getitem__, chunks), end]), "<u4") for chunks in split]
 

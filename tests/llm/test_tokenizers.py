@@ -7,7 +7,7 @@ import pytest
 public_tokenizers = pytest.importorskip("public_tokenizers")
 from polargrain.llm import piece_codec, token_output  # noqa: E402
 
-ODD = [None, "", " ", "  two  spaces ", "a\nb\n\nc", "▁literal ▁▁ marks", "café é ÉCOLE naïve", "<|endoftext|> x<|startoftext|>y <s> </s> <unk>", "it's we'll 12345 67", "\t tab\r\n  nbsp em \x1c\x85 ctl", "日本語 \U0001f600\U0001f600 한국", "x" * 3000, "İstanbul ΣΣ", "\x00 nul", "the same", "the same"]
+ODD = [None, "", " ", "  two  spaces ", "a\nb\n\nc", "▁literal ▁▁ marks", "café é ÉCOLE naïve", "<|endoftext|> x<|startoftext|>y <s> </s> <unk>", "it's we'll 12345 67", "\t tab\r\n  nbsp em \x1c\x85 ctl", "日本語 \U0001f600\U0001f600 한국", "x" * 3000, "İstanbul ΣΣ", "\x00 nul", "the same", "the same", "ÀÉß Straße. ÿ; µm, it's. a.b. x... 5. ... .a Ωmega. <|ENDOFTEXT|>. <|endoftext|>."]
 
 
 def _docs(spark, texts):
