@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polargrain.plans.config import UNKNOWN
@@ -52,3 +52,9 @@ def class_weights(counts: DataFrame) -> DataFrame:
     median = raw.agg(F.percentile("raw", F.lit(0.5)).alias("median"))  # one row a class
     weighted = raw.crossJoin(F.broadcast(median)).withColumn("weight", F.least(F.greatest(F.col("raw") / F.col("median"), F.lit(0.1)), F.lit(5.0)))
     return weighted.select("cls", "n", F.when(F.col("total") > 0, F.col("weight")).otherwise(F.lit(1.0)).alias("weight"))
+
+
+def class_table(spark: SparkSession) -> DataFrame:
+    """The four classes with names and display colours."""
+    rows = [(k, name, color) for k, (name, color) in enumerate(zip(NAMES_4, COLORS_4, strict=True))]
+    return spark.createDataFrame(rows, "cls int, name string, color string")

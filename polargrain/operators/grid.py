@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from polargrain.functions import geometry as geo
 from polargrain.functions import traversability as trav
+from polargrain.functions.labels import COLORS_4
 from polargrain.plans.config import GridParams, GroundParams, MemoryParams, TravParams
 
 
@@ -112,6 +113,19 @@ def profile(cell_rows: DataFrame, by: str) -> DataFrame:
 
 
 def grid_meta(spark: SparkSession, grid: GridParams) -> DataFrame:
-    """One row that describes the grid to clients."""
-    row = (grid.r_min, grid.r_max, grid.r_transition, grid.alpha, grid.dr_0, grid.n_rings, grid.phase1_rings, grid.n_theta, grid.n_classes)
-    return spark.createDataFrame([row], "r_min double, r_max double, r_transition double, alpha double, dr_0 double, n_rings int, phase1_rings int, n_theta int, n_classes int")
+    """One row that describes the grid and the class colours to clients."""
+    row = (grid.r_min, grid.r_max, grid.r_transition, grid.alpha, grid.dr_0, grid.n_rings, grid.phase1_rings, grid.n_theta, grid.n_classes, {str(k): c for k, c in enumerate(COLORS_4)})
+    return spark.createDataFrame([row], "r_min double, r_max double, r_transition double, alpha double, dr_0 double, n_rings int, phase1_rings int, n_theta int, n_classes int, class_colors map<string,string>")
+
+
+def finite(points: DataFrame) -> DataFrame:
+    """Points without null, NaN or infinite coordinates."""
+    good = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) != float("inf")) for c in "xyz"]
+    return points.filter(good[0] & good[1] & good[2])
+
+
+def display_changes(before: DataFrame, after: DataFrame, keys: tuple[str, ...] = ("cell",), shown: tuple[str, ...] = ("z_mean", "z_max", "occ", "trav", "cls")) -> DataFrame:
+    """Cells of ``after`` that are new or show anything else than in ``before``."""
+    old = before.select(*keys, F.struct(*shown).alias("old"))
+    joined = after.join(old, list(keys), "left")
+    return joined.filter(~F.struct(*shown).eqNullSafe(F.col("old"))).drop("old")

@@ -77,6 +77,25 @@ def perf_buckets(rows: DataFrame, value: str, order: list[str], by: tuple[str, .
     return rows.withColumn("bucket", F.floor((n - 1) / every).cast("long")).groupBy(*by, "bucket").agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean_ms"))
 
 
+def perf_lines(rows: DataFrame, value: str, order: list[str], by: tuple[str, ...] = (), every: int = 30, slow_ms: float = 400.0) -> DataFrame:
+    """Averages since the last line, a line after ``every`` frames or at a slow frame.
+
+    A slow frame ends its line, so lines are runs of ``every`` frames within the stretches
+    between slow frames; stretches without an end yet are left out.
+    """
+    whole = Window.partitionBy(*[F.col(c) for c in by] or [F.lit(0)]).orderBy(*order)
+    slow = F.col(value) > slow_ms
+    stretch = rows.withColumn("slow", slow).withColumn("stretch", F.coalesce(F.sum(slow.cast("int")).over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inside = Window.partitionBy(*by, "stretch").orderBy(*order)
+    line = stretch.withColumn("line", F.floor((F.row_number().over(inside) - 1) / every).cast("long"))
+    grouped = line.groupBy(*by, "stretch", "line").agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean_ms"), F.bool_or("slow").alias("slow"))
+    return grouped.filter((F.col("n") == every) | F.col("slow"))
+
+
+def peak(rows: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
+    return rows.groupBy(*by).agg(F.max(value).alias("peak"))
+
+
 def history_latest(history: DataFrame, line: str = "line_no") -> DataFrame:
     """The last record of each step."""
     order = Window.partitionBy("step").orderBy(F.desc(line))

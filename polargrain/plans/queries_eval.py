@@ -77,6 +77,11 @@ def perf_buckets_30(spark: SparkSession, d: str) -> DataFrame:
     return b.select("stage", "bucket", "n", r6("mean_ms"))
 
 
+def perf_log_lines(spark: SparkSession, d: str) -> DataFrame:
+    b = metrics.perf_lines(views.frame_stats(spark, d), "proc_ms", ["ts", "event_id"], ("stage",), 30, 150.0)
+    return b.select("stage", F.col("stretch").cast("long").alias("stretch"), "line", "n", r6("mean_ms"), "slow")
+
+
 def _history(spark: SparkSession, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/events.parquet")
     return e.select(F.col("event_type").alias("run"), (F.floor(F.col("event_id") / 7)).cast("long").alias("step"), F.col("event_id").alias("line_no"), (F.pmod(F.col("event_id") * 37, F.lit(1009)) / 1009.0).alias("miou_4class"))
@@ -164,7 +169,7 @@ def stats_messages(spark: SparkSession, d: str) -> DataFrame:
     return wire.json_rows(s, "stats")
 
 
-QUERIES = {f.__name__: f for f in (confusion_5, confusion_4, confusion_by_band, confusion_pivot, confusion_row_normalized, iou_per_class, miou, miou_by_band, latency_stats, perf_rolling_100, perf_by_stage, perf_buckets_30, history_dedupe, history_peak, early_stop_islands, lr_schedule, lovasz_loss, sequence_catalog, stream_grid_cells, stream_delta, wire_roundtrip, stats_messages)}
+QUERIES = {f.__name__: f for f in (confusion_5, confusion_4, confusion_by_band, confusion_pivot, confusion_row_normalized, iou_per_class, miou, miou_by_band, latency_stats, perf_rolling_100, perf_by_stage, perf_buckets_30, perf_log_lines, history_dedupe, history_peak, early_stop_islands, lr_schedule, lovasz_loss, sequence_catalog, stream_grid_cells, stream_delta, wire_roundtrip, stats_messages)}
 
 _C5 = f"{sql.PAIRS}, c5 AS (SELECT t, p, count(*) AS n FROM pr WHERE t <> 255 GROUP BY ALL)"
 _BANDED = f"""{sql.PAIRS}, b AS (SELECT *, {sql.BAND} AS band FROM pr WHERE t <> 255), s AS (SELECT 5 AS scheme, t, p, band FROM b UNION ALL SELECT 4, least(t, 3)::INT, least(p, 3)::INT, band FROM b),
@@ -185,6 +190,7 @@ ORACLE_SQL = {
     "perf_rolling_100": f"WITH {_FS} SELECT stage, event_id, round(avg(proc_ms) OVER w, 6) AS mean_ms, round(1000 / greatest(avg(proc_ms) OVER w, 1e-3), 6) AS fps, round(quantile_cont(proc_ms, 0.5) OVER w, 6) AS p50_ms, round(quantile_cont(proc_ms, 0.95) OVER w, 6) AS p95_ms FROM fs WINDOW w AS (PARTITION BY stage ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)",
     "perf_by_stage": f"WITH {_FS} SELECT stage, count(*) AS n, round(avg(proc_ms), 6) AS mean_ms, round(quantile_cont(proc_ms, 0.5), 6) AS p50_ms, round(quantile_cont(proc_ms, 0.95), 6) AS p95_ms FROM fs GROUP BY stage",
     "perf_buckets_30": f"WITH {_FS}, n AS (SELECT *, (row_number() OVER (PARTITION BY stage ORDER BY ts, event_id) - 1) // 30 AS bucket FROM fs) SELECT stage, bucket, count(*) AS n, round(avg(proc_ms), 6) AS mean_ms FROM n GROUP BY ALL",
+    "perf_log_lines": f"WITH {_FS}, a AS (SELECT *, proc_ms > 150 AS slow, coalesce(sum((proc_ms > 150)::INT) OVER (PARTITION BY stage ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS stretch FROM fs), b AS (SELECT *, (row_number() OVER (PARTITION BY stage, stretch ORDER BY ts, event_id) - 1) // 30 AS line FROM a) SELECT stage, stretch, line, count(*) AS n, round(avg(proc_ms), 6) AS mean_ms, bool_or(slow) AS slow FROM b GROUP BY stage, stretch, line HAVING count(*) = 30 OR bool_or(slow)",
     "history_dedupe": f"WITH {_HIST} SELECT step, max(line_no) AS line_no, round(arg_max(m, line_no), 6) AS miou_4class FROM h GROUP BY step",
     "history_peak": f"WITH {_HIST} SELECT round(max(m), 6) AS peak FROM h",
     "early_stop_islands": f"""WITH {_HIST}, l AS (SELECT step, arg_max(m, line_no) AS m FROM h WHERE run = 'view' GROUP BY step),

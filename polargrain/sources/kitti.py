@@ -62,6 +62,12 @@ def read_frame(spark: SparkSession, root: str, seq_id: str, frame: int) -> DataF
     return read_scans(spark, root, [seq_id], (frame, frame + 1))
 
 
+def looped(points: DataFrame, n_frames: int, loops: int) -> DataFrame:
+    """A sequence played ``loops`` times, frame numbers going on."""
+    turn = F.explode(F.sequence(F.lit(0), F.lit(loops - 1)))
+    return points.withColumn("loop", turn).withColumn("frame", (F.col("frame") + F.col("loop") * n_frames).cast("int")).drop("loop")
+
+
 def read_labels(spark: SparkSession, root: str) -> DataFrame:
     """(seq_id, frame, pid, raw_label) of all label files, matched to scans by file stem."""
     scans = _files(spark, root, "velodyne", ".bin").select("seq_id", "frame", F.regexp_extract("path", r"([^/]+)\.bin$", 1).alias("stem"))

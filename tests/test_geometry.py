@@ -161,3 +161,21 @@ def test_config_precedence(tmp_path):
     c = load_config(str(one), str(two), env={"POLARGRAIN_GRID_Z_MAX": "7", "POLARGRAIN_TRAVERSABILITY_ENABLED": "false"})
     assert (c.grid.r_max, c.grid.n_theta, c.grid.z_max, c.grid.r_transition) == (50.0, 180, 7.0, 50.0)
     assert c.traversability.weights == (1, 1, 1, 1) and c.traversability.enabled is False and c.grid.phase2_rings == 0
+
+
+def test_finite_points_and_display_changes(spark):
+    rows = [(1.0, 2.0, 3.0), (float("nan"), 0.0, 0.0), (float("inf"), 0.0, 0.0), (None, 0.0, 0.0)]
+    assert grid.finite(spark.createDataFrame(rows, "x double, y double, z double")).count() == 1
+    a = spark.createDataFrame([(1, 0.0, 1.0, 1.0, 0.5, 2), (2, 0.0, 1.0, 1.0, None, 2)], "cell long, z_mean double, z_max double, occ double, trav double, cls int")
+    b = spark.createDataFrame([(1, 0.0, 1.0, 1.0, 0.5, 3), (2, 0.0, 1.0, 1.0, None, 2), (3, 0.0, 1.0, 1.0, 0.5, 2)], a.schema)
+    assert sorted(r.cell for r in grid.display_changes(a, b).collect()) == [1, 3]
+
+
+def test_meta_classes_and_loops(spark):
+    from polargrain.sources import kitti
+
+    meta = grid.grid_meta(spark, G).first()
+    assert meta.n_rings == 652 and meta.class_colors["0"] == labels.class_table(spark).first().color
+    two = kitti.looped(spark.createDataFrame([(0,), (2,)], "frame int"), 3, 2)
+    assert sorted(r.frame for r in two.collect()) == [0, 2, 3, 5]
+    assert metrics.peak(two, "frame").first().peak == 5
