@@ -15,6 +15,7 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder name under ``spark.checkpoint.dir``, which all executors see.
 
+    The name carries its file system, so that Spark and Python writers mean the same place.
     Where the session names no such folder (single-machine tests), one is made and set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -23,7 +24,9 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="polargrain-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    whole = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return f"{whole.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
