@@ -256,7 +256,9 @@ def removed_ranges(listed: DataFrame, folder: str, window: int, hot: int) -> Dat
     """Byte ranges to remove, of all parts."""
     listed = listed.filter("row >= 0")
     tokens = listed.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("context").alias("c1"), F.max("context").alias("c2")).filter("k > 1")
-    shared = cut(listed.join(tokens.select("token", (F.col("c1") != F.col("c2")).alias("mixed")), "token"), "anchors-shared")
+    # a written table on either side: adaptive execution can then split the rows of a hot token
+    mixed = cut(tokens.select("token", (F.col("c1") != F.col("c2")).alias("mixed")), "tokens-shared")
+    shared = cut(listed.join(mixed, "token"), "anchors-shared")
     whole = ("part", "row", "lo", (F.col("lo") + F.col("n") - 1 + window).alias("hi"))
     out = shared.filter("not mixed").select(*whole)
     mixed = shared.filter("mixed")
