@@ -154,7 +154,7 @@ def blocks(benchmark: DataFrame, width: int, threshold: str, block_chars: int) -
 
 def _held(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[str | None]]]:
     texts = batch.column("text").to_pylist()
-    for held in slices(enumerate(texts), lambda r: len(r[1] or ""), 2_000_000):
+    for held in slices(enumerate(texts), lambda r: len(r[1] or ""), 1_000_000):
         yield [i for i, _ in held], [t for _, t in held]
 
 

@@ -151,7 +151,7 @@ class PieceCodec:
         t = model.pieces[0]
         self.lengths = np.array([0 if p.type == t.CONTROL else 1 if p.type == t.BYTE else -1 if p.type == t.UNKNOWN else len(p.piece.encode()) for p in model.pieces], np.int64)
         self.cuttable = bool(model.trainer_spec.byte_fallback) and model.trainer_spec.model_type == 2 and not own and all(p.type != t.NORMAL or ONE_SIDED.fullmatch(p.piece) for p in model.pieces)
-        self.cache = ChunkCache(lambda chunks: [np.asarray(i, "<u4").tobytes() for i in self.plain.encode(chunks, num_threads=1)])
+        self.cache = ChunkCache(lambda chunks: [np.asarray(i, "<u4").tobytes() for i in self.plain.encode(chunks, num_threads=1)], limit=120_000)
 
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per text: ids with begin and end, and an array of [start, end) source byte spans."""
@@ -188,7 +188,7 @@ def codec(model_path: str) -> PieceCodec:
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
     for batch in batches:
-        for held in slices(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), lambda r: len(r[1] or "")):
+        for held in slices(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), lambda r: len(r[1] or ""), 1_000_000):
             yield [i for i, _ in held], [t or "" for _, t in held]
 
 

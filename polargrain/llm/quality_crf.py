@@ -238,7 +238,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = [t or "" for t in batch["text"]]
-            scores = [score_texts(model, held) for held in slices(texts, len, 2_000_000)]
+            scores = [score_texts(model, held) for held in slices(texts, len, 1_000_000)]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": np.concatenate(scores) if scores else []})
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, score double")
@@ -253,7 +253,7 @@ def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            scores = [score_texts(model, held) for held in slices(texts, len, 2_000_000)]
+            scores = [score_texts(model, held) for held in slices(texts, len, 1_000_000)]
             yield batch.filter(pa.array(np.concatenate(scores) >= threshold)) if scores else batch
 
     return docs.mapInArrow(run, docs.schema)
