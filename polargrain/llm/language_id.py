@@ -151,7 +151,7 @@ def train(docs: DataFrame, sample_docs: int = 4000, smoothing: float = 0.5, pena
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row a language
     langs, total = sorted(sizes), sum(sizes.values())
     if total > sample_docs:
-        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(sample_docs / total * (1 << 20)) + 1)
+        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(sample_docs / total * (1 << 40)) + 1)
     n_scripts = len(SCRIPT_STARTS)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -212,7 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 3000) -> Model
     known = labels.select("doc_id", F.col("quality").cast("int").alias("label")).filter(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("doc_id")))
     total = known.count()
     if total > max_labelled:
-        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(max_labelled / total * (1 << 20)))
+        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(max_labelled / total * (1 << 40)))
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most about max_labelled rows
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -106,7 +106,7 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, width: i
 
     total = docs.count()
     share = min(1.0, sample_docs / max(1, total))
-    picked = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1) if share < 1 else docs
+    picked = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(share * (1 << 40)) + 1) if share < 1 else docs
 
     def serialise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
