@@ -101,35 +101,44 @@ def _pieces(rows: list[bytes], window: int, most: int = 1 << 20) -> Iterator[tup
 
 
 class Part:
-    """A stored part: the texts of some documents as one Arrow file."""
+    """A stored part: the texts of some documents as one Arrow file of small batches."""
 
     def __init__(self, folder: str, part: int):
         fs, where = filesystem(f"{folder}/{part}.arrow")
-        with fs.open_input_file(where) as f:
-            self.rows = pa.ipc.open_file(f).read_all()
-        self.texts = self.rows.column("text").combine_chunks()
+        self.reader = pa.ipc.open_file(fs.open_input_file(where))
+        self.firsts = np.frombuffer(self.reader.schema.metadata[b"first_rows"], "<i8")
+        self.number, self.held = -1, None
+
+    def batch(self, k: int) -> pa.RecordBatch:
+        if k != self.number:
+            self.number, self.held = k, self.reader.get_batch(k)
+        return self.held
 
     def text(self, row: int) -> memoryview:
-        return memoryview(self.texts[row].as_buffer())
+        k = int(np.searchsorted(self.firsts, row, "right")) - 1
+        return memoryview(self.batch(k).column("text")[row - int(self.firsts[k])].as_buffer())
 
     @staticmethod
-    def write(folder: str, rows: list[tuple[int | None, bytes]]) -> int:
+    def write(folder: str, rows: list[tuple[int | None, bytes]], batch_bytes: int = 4 << 20) -> int:
         part = uuid.uuid4().int >> 65
         fs, where = filesystem(f"{folder}/{part}.arrow")
         fs.create_dir(where.rpartition("/")[0], recursive=True)
-        held = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.large_binary())], ["doc_id", "text"])
-        with fs.open_output_stream(where, compression=None) as out, pa.ipc.new_file(out, held.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as f:
-            f.write_batch(held)
+        batches = list(slices(rows, lambda r: len(r[1]), batch_bytes, 10_000))
+        firsts = np.cumsum([0, *map(len, batches[:-1])]).astype("<i8")
+        schema = pa.schema([("doc_id", pa.int64()), ("text", pa.large_binary())], {b"first_rows": firsts.tobytes()})
+        with fs.open_output_stream(where, compression=None) as out, pa.ipc.new_file(out, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as f:
+            for held in batches:
+                f.write_batch(pa.RecordBatch.from_arrays([pa.array([i for i, _ in held], pa.int64()), pa.array([t for _, t in held], pa.large_binary())], schema=schema))
         return part
 
 
-def store(docs: DataFrame, folder: str, window: int, token: int, part_bytes: int) -> DataFrame:
+def store(docs: DataFrame, folder: str, window: int, token: int, part_bytes: int, batch_bytes: int) -> DataFrame:
     """Write part files and list their anchors; every part also has one row with row = -1."""
     names = [c.split()[0] for c in ANCHOR.split(", ")]
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
 
     def finish(rows: list[tuple[int | None, bytes]]) -> Iterator[pa.RecordBatch]:
-        part = Part.write(folder, rows)
+        part = Part.write(folder, rows, batch_bytes)
         yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((part, -1, 0, 0, 0, None, None), kinds, strict=True)], names)
         for held in slices(_pieces([t for _, t in rows], window), lambda p: len(p[2]), 1 << 20, 1 << 20):
             columns = anchors(held, window, token)
@@ -223,7 +232,7 @@ def sorted_repeats(found: DataFrame, window: int) -> DataFrame:
     """Repeated windows of single contexts, by range partitions and local sorts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _aligned(batches, "token", 4 << 20):
+        for rows in _aligned(batches, "token", 2 << 20):
             texts = rows.column("bytes").to_pylist()
             lengths = np.array([len(t) for t in texts], np.int64)
             counts = lengths - window + 1
@@ -280,26 +289,31 @@ def cut_texts(ranges: DataFrame, listed: DataFrame, folder: str, keep_text: bool
 
     def finish(part: int, rows: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[pa.RecordBatch]:
         stored = Part(folder, part)
-        texts = stored.texts.to_pylist()
+        order = np.argsort(rows, kind="stable")
+        rows, lo, hi = rows[order], lo[order], hi[order]
+        borders = np.searchsorted(rows, np.append(stored.firsts, np.iinfo(np.int64).max))
+        for k, first in enumerate(stored.firsts.tolist()):
+            own = slice(borders[k], borders[k + 1])
+            yield cut_batch(stored.batch(k), rows[own] - first, lo[own], hi[own])
+
+    def cut_batch(batch: pa.RecordBatch, rows: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+        texts = batch.column("text").to_pylist()
         lengths = np.array([len(t) for t in texts], np.int64)
-        begins = np.cumsum(lengths) - lengths
-        total = int(lengths.sum())
-        change = np.zeros(total + 1, np.int32)
+        ends = np.cumsum(lengths)
+        begins = ends - lengths
+        change = np.zeros(int(lengths.sum()) + 1, np.int32)
         np.add.at(change, begins[rows] + lo, 1)
         np.add.at(change, begins[rows] + hi, -1)
-        gone = np.cumsum(change[:-1]) > 0
+        gone = np.cumsum(change[:-1], dtype=np.int32) > 0
         first = gone.copy()
         first[1:] &= ~gone[:-1]
         some = begins[lengths > 0]
         first[some] = gone[some]
         gone_sums, first_sums = (np.concatenate([[0], np.cumsum(x)]) for x in (gone, first))
-        ends = begins + lengths
-        kept = []
-        flat = np.frombuffer(b"".join(texts), np.uint8)
-        for a, b, text, n in zip(begins.tolist(), ends.tolist(), texts, (gone_sums[ends] - gone_sums[begins]).tolist(), strict=True):
-            kept.append(text if n == 0 else flat[a:b][~gone[a:b]].tobytes())
-        columns = [stored.rows.column("doc_id").combine_chunks(), pa.array(lengths), pa.array(gone_sums[ends] - gone_sums[begins]), pa.array(first_sums[ends] - first_sums[begins]), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array(kept if keep_text else [None] * len(kept), pa.binary())]
-        yield pa.RecordBatch.from_arrays([c.cast(pa.int64()) if i < 4 else c for i, c in enumerate(columns)], names)
+        removed = gone_sums[ends] - gone_sums[begins]
+        kept = [t if n == 0 else np.frombuffer(t, np.uint8)[~gone[a:b]].tobytes() for a, b, t, n in zip(begins.tolist(), ends.tolist(), texts, removed.tolist(), strict=True)]
+        columns = [batch.column("doc_id"), pa.array(lengths), pa.array(removed), pa.array(first_sums[ends] - first_sums[begins]), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array(kept if keep_text else [None] * len(kept), pa.binary())]
+        return pa.RecordBatch.from_arrays([c.cast(pa.int64()) if i < 4 else c for i, c in enumerate(columns)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _aligned(batches, "part", 1 << 20):
@@ -314,10 +328,10 @@ def cut_texts(ranges: DataFrame, listed: DataFrame, folder: str, keep_text: bool
     return ranges.unionByName(parts).repartition("part").sortWithinPartitions("part").mapInArrow(run, RESULT)
 
 
-def remove_repeats(docs: DataFrame, window: int = 200, token: int = 50, part_bytes: int = 8 << 20, hot: int = 50_000, keep_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 200, token: int = 50, part_bytes: int = 32 << 20, batch_bytes: int = 4 << 20, hot: int = 50_000, keep_text: bool = True) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if wanted, the bytes kept."""
     folder = shared_dir(docs.sparkSession, "parts")
-    listed = cut(store(docs, folder, window, token, part_bytes), "anchors")
+    listed = cut(store(docs, folder, window, token, part_bytes, batch_bytes), "anchors")
     return cut_texts(removed_ranges(listed, folder, window, hot), listed, folder, keep_text)
 
 

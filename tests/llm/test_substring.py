@@ -45,7 +45,7 @@ def test_small_windows_equal_brute_force(spark, hot):
         i, j = rnd.randrange(100), rnd.randrange(100)
         texts.append(a[i : i + rnd.randrange(60)] + "".join(rnd.choice("efgh") for _ in range(rnd.randrange(30))) + b[j : j + rnd.randrange(80)])
     texts += texts[10:14]
-    assert run(spark, texts, window=21, token=7, part_bytes=500, hot=hot) == brute(texts, 21)
+    assert run(spark, texts, window=21, token=7, part_bytes=500, batch_bytes=150, hot=hot) == brute(texts, 21)
 
 
 def test_whole_small_table(spark, sf_dir):
@@ -53,6 +53,12 @@ def test_whole_small_table(spark, sf_dir):
     assert run(spark, texts) == brute(texts, 200)
 
 
+def test_parts_of_several_batches(tmp_path):
+    rows = [(1, b"abcdef"), (None, b""), (3, b"ghijkl"), (4, b"m" * 30), (5, b"")]
+    part = sd.Part(str(tmp_path), sd.Part.write(str(tmp_path), rows, 10))
+    assert len(part.firsts) > 2 and [bytes(part.text(k)) for k in (4, 0, 3, 1, 2)] == [rows[k][1] for k in (4, 0, 3, 1, 2)]
+
+
 def test_no_documents(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert sd.remove_repeats(docs).collect() == []
