@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from polargrain.llm import decontaminate, exact_dedup, piece_codec, quality_crf, simhash
+from polargrain.llm import decontaminate, exact_dedup, near_copies as similar_texts, piece_codec, quality_crf
 from polargrain.llm.common import cut, table
 
 
@@ -27,8 +27,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group linked by SimHash, that with the least doc_id."""
-    return simhash.representatives(docs)
+    """One document of every group linked by five-word Jaccard >= 0.8, that with the least doc_id."""
+    return similar_texts.representatives(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
