@@ -146,12 +146,15 @@ class Model:
         return [(int(starts[a]) - 1, int(ends[b - 1]) - 1, self.langs[label[a]]) for a, b in zip([0, *change], [*change, len(label)], strict=True)]
 
 
-def train(docs: DataFrame, sample_docs: int = 4000, smoothing: float = 0.5, penalty: float = 8.0) -> Model:
+def train(docs: DataFrame, sample_docs: int = 4000, smoothing: float = 0.5, penalty: float = 8.0, per_language: int = 200) -> Model:
+    """Train on about ``sample_docs`` documents, and on about ``per_language`` or all of a rarer language."""
     known = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row a language
     langs, total = sorted(sizes), sum(sizes.values())
     if total > sample_docs:
-        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(sample_docs / total * (1 << 40)) + 1)
+        most = {lang: int(min(1.0, max(sample_docs / total, per_language / n)) * (1 << 40)) + 1 for lang, n in sizes.items()}
+        limit = F.create_map(*[F.lit(x) for pair in most.items() for x in pair])[F.col("lang")]
+        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < limit)
     n_scripts = len(SCRIPT_STARTS)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from polargrain.llm import language_id, quality_crf
+from polargrain.llm.bytework import python_held_out
 from polargrain.llm.bytework import Padded, python_held_out
 
 
@@ -37,6 +38,13 @@ def test_language_spans_and_edges(spark, small):
     assert empty.predict(["the"]) == [("und", 0.0)]
 
 
+def test_rare_languages_are_trained(spark):
+    rare = [i for i in range(5000, 5100) if not python_held_out(i)][:3]
+    rows = [(i, "plain english words in a row", "en") for i in range(3000)] + [(i, "zutto kimochi wakaranai yo", "ja") for i in rare]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_docs=40)
+    assert [x for x, _ in model.predict(["kimochi wakaranai", "english words"])] == ["ja", "en"]
+
+
 def test_viterbi_equals_brute_force():
     rng = np.random.default_rng(1)
     model = language_id.Model(["a", "b", "c"], np.zeros((1, 3)), np.ones((20, 3), bool), penalty=1.5)
