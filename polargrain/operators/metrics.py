@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from polargrain.functions import display
 from polargrain.functions.labels import bin_5_to_4
+from polargrain.operators import ordered
 from polargrain.plans.config import UNKNOWN
 
 
@@ -63,18 +64,55 @@ def latency_stats(rows: DataFrame, value: str, by: tuple[str, ...] = ()) -> Data
     return rows.groupBy(*by).agg(F.count(v).alias("n"), *[F.coalesce(c, F.lit(0.0)).alias(k) for k, c in parts.items()])
 
 
-def perf_window(rows: DataFrame, value: str, order: list[str], by: tuple[str, ...] = (), length: int = 100) -> DataFrame:
-    """Mean, rate, median and 95th percentile over the last ``length`` rows of each series."""
-    w = Window.partitionBy(*[F.col(c) for c in by] or [F.lit(0)]).orderBy(*order).rowsBetween(1 - length, 0)
-    mean = F.avg(value).over(w)
-    p50, p95 = (F.percentile(value, F.lit(q)).over(w) for q in (0.5, 0.95))
-    return rows.withColumns({"mean_ms": mean, "fps": display.fps(mean), "p50_ms": p50, "p95_ms": p95})
+def perf_window(rows: DataFrame, value: str, order: list[str], by: tuple[str, ...] = (), length: int = 100, block: int = 2000) -> DataFrame:
+    """Mean, rate, median and 95th percentile over the last ``length`` rows of each series.
+
+    A series is dealt in blocks of ``block`` rows; a block also gets the ``length - 1`` rows
+    before it. Percentiles read one sorted array a row, interpolating between neighbours.
+    """
+    numbered = ordered.numbered(rows, by, order, "__rn")
+    home = F.floor((F.col("__rn") - 1) / block).cast("long")
+    ahead = (F.pmod(F.col("__rn") - 1, F.lit(block)) >= block - length + 1) & F.lit(length > 1)
+    dealt = numbered.withColumn("__home", home).withColumn("__block", F.explode(F.when(ahead, F.array("__home", F.col("__home") + 1)).otherwise(F.array("__home"))))
+    w = Window.partitionBy(*by, "__block").orderBy("__rn").rowsBetween(1 - length, 0)
+    held = dealt.withColumn("mean_ms", F.avg(value).over(w)).withColumn("__held", F.sort_array(F.collect_list(value).over(w)))
+    place = lambda q: q * (F.size("__held") - 1)
+    low = lambda q: F.get("__held", F.floor(place(q)).cast("int"))
+    high = lambda q: F.get("__held", F.ceil(place(q)).cast("int"))
+    share = lambda q: place(q) - F.floor(place(q))
+    own = held.filter(F.col("__block") == F.col("__home"))
+    added = {name: (1 - share(q)) * low(q) + share(q) * high(q) for name, q in (("p50_ms", F.lit(0.5)), ("p95_ms", F.lit(0.95)))}
+    return own.withColumns({"fps": display.fps(F.col("mean_ms")), **added}).drop("__rn", "__home", "__block", "__held")
 
 
 def perf_buckets(rows: DataFrame, value: str, order: list[str], by: tuple[str, ...] = (), every: int = 30) -> DataFrame:
     """Averages of consecutive runs of ``every`` rows."""
-    n = F.row_number().over(Window.partitionBy(*[F.col(c) for c in by] or [F.lit(0)]).orderBy(*order))
-    return rows.withColumn("bucket", F.floor((n - 1) / every).cast("long")).groupBy(*by, "bucket").agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean_ms"))
+    numbered = ordered.numbered(rows, by, order, "__rn")
+    return numbered.withColumn("bucket", F.floor((F.col("__rn") - 1) / every).cast("long")).groupBy(*by, "bucket").agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean_ms"))
+
+
+def step_rates(rows: DataFrame, loss: str, ms: str, order: list[str], by: tuple[str, ...] = (), every: int = 50) -> DataFrame:
+    """Mean loss and steps a second of consecutive runs of ``every`` training steps."""
+    numbered = ordered.numbered(rows, by, order, "__rn")
+    each = numbered.withColumn("bucket", F.floor((F.col("__rn") - 1) / every).cast("long")).groupBy(*by, "bucket")
+    return each.agg(F.count(F.lit(1)).alias("n"), F.avg(loss).alias("mean_loss"), (F.count(F.lit(1)) * 1000.0 / F.sum(ms)).alias("steps_per_s"))
+
+
+def stage_averages(rows: DataFrame, stage: str, value: str, frame: str) -> DataFrame:
+    """Milliseconds a frame of every stage, and of all stages together (``total``)."""
+    whole = rows.rollup(stage).agg(F.sum(value).alias("sum"), F.count_distinct(frame).alias("frames"), F.grouping(stage).alias("g"))
+    return whole.select(F.when(F.col("g") == 1, "total").otherwise(F.col(stage)).alias("stage"), "frames", (F.col("sum") / F.col("frames")).alias("ms_a_frame"))
+
+
+def paired(pred: DataFrame, truth: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(t, p) of every pixel that has both a target and a prediction."""
+    return truth.select(*keys, F.col("label").alias("t")).join(pred.select(*keys, F.col("label").alias("p")), list(keys))
+
+
+def ranked(ious: DataFrame) -> DataFrame:
+    """Class scores with their place by falling value; classes without one come last."""
+    order = Window.orderBy(F.desc_nulls_last("iou"), "cls")  # one row a class
+    return ious.withColumn("place", F.row_number().over(order))
 
 
 def perf_lines(rows: DataFrame, value: str, order: list[str], by: tuple[str, ...] = (), every: int = 30, slow_ms: float = 400.0) -> DataFrame:
@@ -96,10 +134,11 @@ def peak(rows: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
     return rows.groupBy(*by).agg(F.max(value).alias("peak"))
 
 
-def history_latest(history: DataFrame, line: str = "line_no") -> DataFrame:
-    """The last record of each step."""
-    order = Window.partitionBy("step").orderBy(F.desc(line))
-    return history.withColumn("rn", F.row_number().over(order)).filter("rn = 1").drop("rn")
+def history_latest(history: DataFrame, line: str = "line_no", by: tuple[str, ...] = ()) -> DataFrame:
+    """The last record of each step, or of each step of every run."""
+    others = [c for c in history.columns if c not in (*by, "step")]
+    last = history.groupBy(*by, "step").agg(F.max_by(F.struct(*others), line).alias("last"))
+    return last.select(*by, "step", "last.*").select(*history.columns)
 
 
 def history_peak(history: DataFrame, value: str) -> DataFrame:
@@ -107,27 +146,46 @@ def history_peak(history: DataFrame, value: str) -> DataFrame:
 
 
 def early_stop(history: DataFrame, value: str, patience: int, by: tuple[str, ...] = ()) -> DataFrame:
-    """Running best, validations since it improved, and whether training has stopped."""
+    """Running best, validations since it improved, and whether training has stopped; a row a step and run."""
     order = Window.partitionBy(*[F.col(c) for c in by] or [F.lit(0)]).orderBy("step")
     before = F.max(value).over(order.rowsBetween(Window.unboundedPreceding, -1))
     better = history.withColumn("better", before.isNull() | (F.col(value) > before))
-    island = better.withColumn("run", F.sum(F.col("better").cast("int")).over(order))
-    inside = Window.partitionBy(*[F.col(c) for c in by], "run").orderBy("step")
+    island = better.withColumn("__island", F.sum(F.col("better").cast("int")).over(order))
+    inside = Window.partitionBy(*by, "__island").orderBy("step")
     waited = island.withColumn("waited", F.row_number().over(inside) - 1).withColumn("best", F.max(value).over(order))
-    return waited.withColumn("stopped", F.max(F.col("waited")).over(order) >= patience)
+    return waited.withColumn("stopped", F.max(F.col("waited")).over(order) >= patience).drop("__island")
 
 
 def sums_of_stage(rows: DataFrame, stage: str, value: str) -> DataFrame:
     return rows.groupBy(stage).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean_ms"), F.percentile(value, F.lit(0.5)).alias("p50_ms"), F.percentile(value, F.lit(0.95)).alias("p95_ms"))
 
 
-def lovasz_softmax(pixels: DataFrame, cls: int, prob: Column, truth: Column, by: tuple[str, ...] = ()) -> DataFrame:
-    """Published Lovasz-Softmax of one class: errors by falling size against the Jaccard steps."""
-    y = (truth == cls).cast("double")
-    rows = pixels.select(*by, y.alias("y"), F.abs(y - prob).alias("e"))
-    whole = Window.partitionBy(*[F.col(c) for c in by] or [F.lit(0)])
-    order = whole.orderBy(F.desc("e"), F.desc("y")).rowsBetween(Window.unboundedPreceding, 0)
-    seen, total, n = F.sum("y").over(order), F.sum("y").over(whole), F.count(F.lit(1)).over(order)
-    jaccard = 1 - (total - seen) / (total + (n - seen))
-    stepped = rows.withColumn("j", jaccard).withColumn("before", F.coalesce(F.lag("j").over(whole.orderBy(F.desc("e"), F.desc("y"))), F.lit(0.0)))
-    return stepped.groupBy(*by).agg(F.sum(F.col("e") * (F.col("j") - F.col("before"))).alias("loss"))
+def lovasz_softmax(pixels: DataFrame, probs: str, truth: str, classes: int, slices: int = 32) -> DataFrame:
+    """Published Lovasz-Softmax (cls, loss) of every class that occurs: errors by falling size against the Jaccard steps.
+
+    Equal errors share a step, so they are counted together; their order cannot change the sum.
+    """
+    each = pixels.select(F.col(truth).alias("t"), F.posexplode(F.slice(probs, 1, classes)).alias("cls", "p"))
+    y = (F.col("t") == F.col("cls")).cast("long")
+    errors = each.select("cls", y.alias("y"), (-F.abs(y - F.col("p"))).alias("e"))
+    grouped = errors.groupBy("cls", "e").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("hit"))
+    summed = ordered.running(grouped, ("cls",), ["e"], "e", {"__n": F.col("n"), "__hit": F.col("hit")}, slices)
+    totals = errors.groupBy("cls").agg(F.sum("y").alias("total")).filter("total > 0")  # one row a class
+    joined = summed.join(totals, "cls")
+    jaccard = lambda n, hit: 1 - (F.col("total") - hit) / (F.col("total") + n - hit)
+    step = jaccard(F.col("__n"), F.col("__hit")) - jaccard(F.col("__n") - F.col("n"), F.col("__hit") - F.col("hit"))
+    return joined.groupBy("cls").agg(F.sum(-F.col("e") * step).alias("loss"))
+
+
+def segmentation_loss(pixels: DataFrame, probs: str, truth: str, weights: Column, classes: int) -> DataFrame:
+    """One row: class-weighted cross-entropy, mean Lovasz over the classes that occur, and the first plus half the second.
+
+    Pixels to ignore do not count; where the Lovasz part is not a number the cross-entropy stands alone.
+    """
+    valid = pixels.filter(F.col(truth) != UNKNOWN)
+    w = F.get(weights, F.col(truth).cast("int"))
+    entropy = valid.agg((F.sum(-w * F.log(F.greatest(F.get(probs, F.col(truth).cast("int")), F.lit(1e-12)))) / F.sum(w)).alias("cross_entropy"))
+    lovasz = lovasz_softmax(valid, probs, truth, classes).agg(F.avg("loss").alias("lovasz"))
+    both = entropy.crossJoin(F.broadcast(lovasz))  # one row each
+    extra = F.when(F.col("lovasz").isNull() | F.isnan("lovasz"), 0.0).otherwise(F.col("lovasz"))
+    return both.withColumn("loss", F.col("cross_entropy") + 0.5 * extra)
