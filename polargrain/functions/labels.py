@@ -14,6 +14,7 @@ RAW_TO_FIVE = {
 }
 # Five-class id -> four-class id.
 FIVE_TO_FOUR = {0: 0, 1: 1, 2: 2, 3: 3, 4: 3}
+# Class names and display colours.
 NAMES_5 = ("drivable", "terrain_nondrivable", "static_obstacle", "dynamic_vehicle", "dynamic_pedestrian")
 NAMES_4 = ("drivable", "terrain_nondrivable", "static_obstacle", "dynamic_object")
 COLORS_4 = ("#22c55e", "#a16207", "#ef4444", "#3b82f6")
@@ -54,7 +55,19 @@ def class_weights(counts: DataFrame) -> DataFrame:
     return weighted.select("cls", "n", F.when(F.col("total") > 0, F.col("weight")).otherwise(F.lit(1.0)).alias("weight"))
 
 
-def class_table(spark: SparkSession) -> DataFrame:
-    """The four classes with names and display colours."""
-    rows = [(k, name, color) for k, (name, color) in enumerate(zip(NAMES_4, COLORS_4, strict=True))]
+def class_table(spark: SparkSession, config: dict | None = None) -> DataFrame:
+    """The four classes with names and display colours; ``config`` may replace either by class id."""
+    own = {int(k): v for k, v in ((config or {}).get("classes") or {}).items()}
+    rows = [(k, own.get(k, {}).get("name", name), own.get(k, {}).get("color", color)) for k, (name, color) in enumerate(zip(NAMES_4, COLORS_4, strict=True))]
     return spark.createDataFrame(rows, "cls int, name string, color string")
+
+
+def class_config(text: str) -> dict:
+    """A YAML class configuration: ``classes`` (id to name and color), ``raw_to_five`` and ``five_to_four``."""
+    import yaml
+
+    raw = yaml.safe_load(text) or {}
+    out = {"classes": {int(k): dict(v) for k, v in (raw.get("classes") or {}).items()}}
+    for name, fixed in (("raw_to_five", RAW_TO_FIVE), ("five_to_four", FIVE_TO_FOUR)):
+        out[name] = {int(k): int(v) for k, v in (raw.get(name) or fixed).items()}
+    return out

@@ -15,14 +15,17 @@ from pyspark.sql.window import Window
 
 from polargrain.functions import labels
 from polargrain.functions import projection as proj
-from polargrain.operators import images
+from polargrain.operators import images, ordered
 from polargrain.plans.config import UNKNOWN, ProjectionParams
 
 SHARD_SIZE = 200
 
 
 def labelled_points(points: DataFrame, raw: DataFrame, keys: tuple[str, ...] = ("seq_id", "frame")) -> DataFrame:
-    """Points with five-class ids, for frames whose points and labels agree in number."""
+    """Points with five-class ids, for frames whose points and labels agree in number.
+
+    For relations; ``kitti.read_labelled_scans`` pairs files without a shuffle of points.
+    """
     sizes = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("a")).join(raw.groupBy(*keys).agg(F.count(F.lit(1)).alias("b")), list(keys)).filter("a = b").select(*keys)
     joined = points.join(raw, [*keys, "pid"]).join(sizes, list(keys), "left_semi")
     return joined.withColumn("cls5", labels.remap(labels.semantic(F.col("raw_label"))))
@@ -42,12 +45,13 @@ def shard_assignment(frames: DataFrame, keys: tuple[str, ...] = ("seq_id", "fram
     """Shard of every frame and its sample number, which restarts with each sequence.
 
     Shard numbers go on across sequences; a shard may hold the end of one and the start of
-    the next. One row a frame.
+    the next. One row a frame is numbered inside its sequence; sequences are summed up first.
     """
     seq, frame = keys
-    whole = F.row_number().over(Window.orderBy(seq, frame)) - 1
-    own = F.row_number().over(Window.partitionBy(seq).orderBy(frame)) - 1
-    return frames.select(*keys, F.floor(whole / size).cast("long").alias("shard"), own.alias("sample"))
+    sizes = frames.groupBy(seq).agg(F.count(F.lit(1)).alias("n"))  # one row a sequence
+    before = F.sum("n").over(Window.orderBy(seq).rowsBetween(Window.unboundedPreceding, -1))
+    own = ordered.numbered(frames.select(*keys), (seq,), [frame], "rn").join(sizes.select(seq, F.coalesce(before, F.lit(0)).alias("before")), seq)
+    return own.select(*keys, F.floor((F.col("before") + F.col("rn") - 1) / size).cast("long").alias("shard"), (F.col("rn") - 1).alias("sample"))
 
 
 def write_shards(dense: DataFrame, assignment: DataFrame, path: str, split: str, mode: str = "errorifexists", keys: tuple[str, ...] = ("seq_id", "frame")) -> None:
@@ -106,6 +110,36 @@ def shard_metadata(kept: DataFrame, split: str = "split", keys: tuple[str, ...]
     return frames.crossJoin(F.broadcast(lists)).withColumn("image_dtype", F.lit("float16")).withColumn("label_dtype", F.lit("uint8"))
 
 
-def shuffled_samples(samples: DataFrame, seed: int, keys: tuple[str, ...] = ("seq_id", "frame")) -> DataFrame:
-    """A repeatable random order."""
-    return samples.orderBy(F.xxhash64(*keys, F.lit(seed)))
+def split_metadata(kept: DataFrame, split: str = "split", keys: tuple[str, ...] = ("seq_id", "frame"), classes: int = 5) -> DataFrame:
+    """Frames and class counts of every split, in one pass over the points of all splits."""
+    counts = [F.count_if(F.col("cls5") == k).alias(f"c{k}") for k in range(classes)]
+    frames = kept.groupBy(split, *keys).agg(*counts)
+    return frames.groupBy(split).agg(F.count(F.lit(1)).alias("n_frames"), *[F.sum(f"c{k}").alias(f"c{k}") for k in range(classes)])
+
+
+def shuffled_samples(samples: DataFrame, seed: int, keys: tuple[str, ...] = ("seq_id", "frame"), shard: str | None = None, buffer: int = 1000) -> DataFrame:
+    """A repeatable random order of samples, with ``place`` in it.
+
+    With ``shard``, shards come in a random order and samples of one shard stay within
+    ``buffer`` places of where reading would put them, as through a bounded shuffle buffer;
+    without, the order is that of a hash over everything.
+    """
+    draw = F.xxhash64(*keys, F.lit(seed))
+    if shard is None:
+        return ordered.numbered(samples.withColumn("__draw", draw), (), ["__draw", *keys], "place").drop("__draw")
+    by_shard = samples.withColumn("__turn", F.xxhash64(shard, F.lit(seed)))
+    read = ordered.numbered(by_shard, (), ["__turn", shard, *keys], "__rn")
+    block = read.withColumn("__block", F.floor((F.col("__rn") - 1) / buffer).cast("long"))
+    inside = F.row_number().over(Window.partitionBy("__block").orderBy(draw, *keys))
+    return block.withColumn("place", F.col("__block") * buffer + inside).drop("__turn", "__rn", "__block")
+
+
+def collated(samples: DataFrame, batch: int, place: str = "place") -> DataFrame:
+    """Batch number of every sample, and its place in it."""
+    at = F.col(place) - 1
+    return samples.withColumn("batch", F.floor(at / batch).cast("long")).withColumn("item", F.pmod(at, F.lit(batch)).cast("int"))
+
+
+def first_batches(batched: DataFrame, most: int) -> DataFrame:
+    """The samples of the first ``most`` batches."""
+    return batched.filter(F.col("batch") < most)
