@@ -9,36 +9,45 @@ from pyspark.sql.window import Window
 from polargrain.functions import projection as proj
 from polargrain.plans.config import StreamParams
 
+KEYS = ("seq_id", "frame")
 
-def with_pose(points: DataFrame, poses: DataFrame, n_poses: int) -> DataFrame:
-    """Joins each frame's pose, the pose list repeating; poses are one row a frame, so broadcast by size."""
-    return points.withColumn("pose_id", F.pmod("frame", F.lit(n_poses)).cast("int")).join(poses, "pose_id")
 
+def with_pose(points: DataFrame, poses: DataFrame, frame: str = "frame") -> DataFrame:
+    """Joins each frame's pose, the pose list of its sequence repeating.
 
-def world_points(points: DataFrame, poses: DataFrame, n_poses: int) -> DataFrame:
-    posed = with_pose(points, poses, n_poses)
+    ``poses`` has (pose_id, pose), for all sequences alike, or (seq_id, pose_id, pose). It holds
+    one row a pose; Spark broadcasts it if its size allows.
+    """
+    own = ["seq_id"] if "seq_id" in poses.columns else []
+    sizes = poses.groupBy(*own).agg(F.count(F.lit(1)).alias("n_poses"))
+    counted = points.join(sizes, own) if own else points.crossJoin(F.broadcast(sizes))  # the latter is one row
+    placed = counted.withColumn("pose_id", F.pmod(F.col(frame), F.col("n_poses")).cast("int"))
+    return placed.join(poses, [*own, "pose_id"]).drop("n_poses")
+
+
+def world_points(points: DataFrame, poses: DataFrame) -> DataFrame:
+    posed = with_pose(points, poses)
     return posed.select(*points.columns, *proj.to_world())
 
 
-def accumulate(world: DataFrame, poses: DataFrame, n_poses: int, s: StreamParams) -> DataFrame:
-    """For each frame the points of the last ``cloud_frames`` frames, thinned, in the frame's own axes.
+def accumulate(world: DataFrame, poses: DataFrame, s: StreamParams) -> DataFrame:
+    """For each frame the points of its sequence's last ``cloud_frames`` frames, thinned, in the frame's own axes.
 
-    A frame is copied to the frames that look back to it (a fixed number), so the band join
-    becomes an equality. The stride of a frame's cloud keeps it at ``cloud_max`` points or
-    less; every frame is thinned on its own order, and the oldest points stay on truncation.
+    The stride of a frame's cloud keeps it at ``cloud_max`` points or less; every frame is
+    thinned on its own order, and the oldest points stay on truncation. Strides are found on
+    one row a frame, so a point is copied only to the clouds that keep it.
     """
-    sizes = world.groupBy("frame").agg(F.count(F.lit(1)).alias("n"))
-    look = F.sequence(F.col("frame"), F.col("frame") + (s.cloud_frames - 1))
-    frames = sizes.select("frame")
-    totals = sizes.withColumn("at", F.explode(look)).groupBy("at").agg(F.sum("n").alias("total"))
-    strides = totals.join(frames.withColumnRenamed("frame", "at"), "at", "left_semi").select("at", F.greatest(F.lit(1), F.ceil(F.col("total") / s.cloud_max)).cast("long").alias("stride"))
-    order = Window.partitionBy("frame").orderBy("pid")
-    numbered = world.withColumn("k", F.row_number().over(order) - 1)
-    copies = numbered.withColumn("at", F.explode(look)).join(strides, "at").filter(F.pmod("k", F.col("stride")) == 0)
-    cap = Window.partitionBy("at").orderBy("frame", "k")
+    seq, frame = KEYS
+    sizes = world.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
+    looks = sizes.withColumn("at", F.explode(F.sequence(F.col(frame), F.col(frame) + (s.cloud_frames - 1)))).join(sizes.select(seq, F.col(frame).alias("at")), [seq, "at"], "left_semi")
+    totals = looks.groupBy(seq, "at").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / s.cloud_max)).cast("long").alias("stride"))
+    clouds = looks.join(totals, [seq, "at"]).groupBy(*KEYS).agg(F.collect_list(F.struct("at", "stride")).alias("clouds"))
+    numbered = world.withColumn("k", F.row_number().over(Window.partitionBy(*KEYS).orderBy("pid")) - 1)
+    kept = F.filter("clouds", lambda c: F.pmod(F.col("k"), c["stride"]) == 0)
+    copies = numbered.join(clouds, list(KEYS)).withColumn("at", F.explode(F.transform(kept, lambda c: c["at"]))).drop("clouds")
+    cap = Window.partitionBy(seq, "at").orderBy(frame, "k")
     held = copies.withColumn("place", F.row_number().over(cap)).filter(F.col("place") <= s.cloud_max)
-    anchored = held.withColumn("pose_id", F.pmod("at", F.lit(n_poses)).cast("int")).join(poses, "pose_id")
-    return anchored.select("at", "frame", "pid", "cls", *proj.to_ego())
+    return with_pose(held, poses, "at").select(seq, "at", frame, "pid", "cls", *proj.to_ego())
 
 
 def stride_sample(points: DataFrame, most: int, keys: tuple[str, ...] = ("frame",), order: str = "pid") -> DataFrame:
@@ -51,10 +60,10 @@ def stride_sample(points: DataFrame, most: int, keys: tuple[str, ...] = ("frame"
 
 def shown_cloud(cloud: DataFrame, ground: DataFrame) -> DataFrame:
     """Client coordinates: rounded to centimetres, then heights above the ground."""
-    joined = cloud.join(ground.select(F.col("frame").alias("at"), "ground_z"), "at")
-    return joined.select("at", "pid", "cls", proj.cloud_rounded(F.col("ex")).alias("x"), proj.cloud_rounded(F.col("ey")).alias("y"), (proj.cloud_rounded(F.col("ez")) - F.col("ground_z")).alias("z"))
+    joined = cloud.join(ground.select("seq_id", F.col("frame").alias("at"), "ground_z"), ["seq_id", "at"])
+    return joined.select("seq_id", "at", "frame", "pid", "cls", proj.cloud_rounded(F.col("ex")).alias("x"), proj.cloud_rounded(F.col("ey")).alias("y"), (proj.cloud_rounded(F.col("ez")) - F.col("ground_z")).alias("z"))
 
 
-def headings(frames: DataFrame, poses: DataFrame, n_poses: int) -> DataFrame:
-    posed = with_pose(frames, poses, n_poses)
+def headings(frames: DataFrame, poses: DataFrame) -> DataFrame:
+    posed = with_pose(frames, poses)
     return posed.select(*frames.columns, proj.yaw_centidegrees(F.get("pose", F.lit(0)), F.get("pose", F.lit(8))).alias("yaw_cd"))

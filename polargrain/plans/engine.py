@@ -84,29 +84,44 @@ class Engine:
         renamed = frames.withColumn("grid_frame", number)
         return cells.join(renamed, list(self.KEYS)).withColumnRenamed("frame", "source_frame").withColumnRenamed("grid_frame", "frame")
 
-    def messages(self, cells: DataFrame, schedule: DataFrame, epoch: int = 0, compress: bool = True) -> DataFrame:
-        """Binary messages of every delivered frame."""
+    def messages(self, cells: DataFrame, schedule: DataFrame, epoch: int = 0, compress: bool = True, poses: DataFrame | None = None) -> DataFrame:
+        """Binary messages of every delivered frame, with its heading where there are poses."""
         told = self.events(cells, schedule)
         rows = grid.rebased(cells).select(*self.KEYS, "cell", "ring", "sector", "z_mean", F.col("z_max").alias("shown"), "occ", "trav")
         n = self.config.grid.n_theta
         sent = told.filter("op <> 'freed'").drop("z_max").join(rows, [*self.KEYS, "cell"]).withColumnRenamed("shown", "z_max")
         gone = told.filter("op = 'freed'").select(*self.KEYS, "cell", "op", "cls", geometry.ring_of(F.col("cell"), self.config.grid).alias("ring"), F.pmod("cell", F.lit(n)).cast("int").alias("sector"), *[F.lit(None).cast("double").alias(c) for c in ("z_mean", "z_max", "occ", "trav")])
         both = sent.select(gone.columns).unionByName(gone).withColumn("epoch", F.lit(epoch).cast("long"))
-        frames = schedule.filter("delivered").select("seq_id", F.lit(epoch).cast("long").alias("epoch"), "frame", "kind", F.lit(0).alias("yaw_cd"))
+        sent_frames = schedule.filter("delivered").select("seq_id", "frame", "kind")
+        yaw = sent_frames.withColumn("yaw_cd", F.lit(0)) if poses is None else cloud.headings(sent_frames, poses)
+        frames = yaw.select("seq_id", F.lit(epoch).cast("long").alias("epoch"), "frame", "kind", F.col("yaw_cd").cast("int").alias("yaw_cd"))
         return wire.pack(frames, both, compress)
 
     def client_cells(self, told: DataFrame, schedule: DataFrame) -> DataFrame:
         return delta.materialize(told, schedule)
 
-    def accumulated_cloud(self, points: DataFrame, poses: DataFrame, n_poses: int) -> DataFrame:
-        return cloud.accumulate(cloud.world_points(points, poses, n_poses), poses, n_poses, self.config.stream)
+    def accumulated_cloud(self, points: DataFrame, poses: DataFrame) -> DataFrame:
+        """Clouds of the last frames of every sequence; ``poses`` may be keyed by sequence."""
+        return cloud.accumulate(cloud.world_points(points, poses), poses, self.config.stream)
+
+    def cloud_messages(self, points: DataFrame, poses: DataFrame, ground: DataFrame, epoch: int = 0, compress: bool = True) -> DataFrame:
+        """Binary cloud messages of every frame, in client coordinates and with its heading."""
+        shown = cloud.shown_cloud(self.accumulated_cloud(points, poses), ground).drop("frame").withColumnRenamed("at", "frame")
+        yaw = cloud.headings(shown.select(*self.KEYS).distinct(), poses)
+        return wire.pack_clouds(shown.withColumn("epoch", F.lit(epoch).cast("long")), yaw, compress)
+
+    def stats(self, frame_stats: DataFrame) -> DataFrame:
+        """Statistics messages, one every ``stats_interval`` frames."""
+        due = frame_stats.filter(F.pmod("frame", F.lit(max(1, self.config.stream.stats_interval))) == 0)
+        return wire.json_rows(due, "stats")
 
     # offline jobs
     def write_training_shards(self, root: str, out: str, split: str, seq_ids: list[str] | None = None, mode: str = "errorifexists", size: int = etl.SHARD_SIZE) -> DataFrame:
         """Dense images and labels as shards; the metadata row."""
         from polargrain.operators import images
 
-        kept = etl.training_points(etl.labelled_points(self.scans(root, seq_ids), kitti.read_labels(self.spark, root)), self.config.projection)
+        read = kitti.read_labelled_scans(self.spark, root, seq_ids).withColumn("cls5", labels.remap(labels.semantic(F.col("raw_label"))))
+        kept = etl.training_points(read, self.config.projection)
         pixels = etl.training_pixels(kept, self.config.projection)
         assignment = etl.shard_assignment(kept.select(*self.KEYS).distinct(), size=size)
         etl.write_shards(images.dense_images(pixels, self.config.projection, self.KEYS), assignment, out, split, mode)

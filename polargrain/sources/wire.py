@@ -125,6 +125,39 @@ def unpack(messages: DataFrame) -> DataFrame:
     return messages.select("seq_id", "body").mapInArrow(run, DECODED)
 
 
+def pack_clouds(points: DataFrame, yaw: DataFrame, compress: bool = True) -> DataFrame:
+    """Messages of clouds (seq_id, epoch, frame, pid, cls, x, y, z); a cloud, bounded by the engine's cap, is one group."""
+    keys = ["seq_id", "epoch", "frame"]
+    joined = points.select(*keys, "pid", "x", "y", "z", "cls").join(yaw.select("seq_id", "frame", F.col("yaw_cd").cast("int").alias("yaw_cd")), ["seq_id", "frame"])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("pid")
+        first = table.slice(0, 1).to_pylist()[0]
+        xyz = np.stack([table.column(c).to_numpy() for c in "xyz"], 1)
+        bodies = list(cloud_chunks(first["frame"], first["epoch"], xyz, table.column("cls").to_numpy(), first["yaw_cd"]))
+        n = len(bodies)
+        same = [pa.array([first[k]] * n, t) for k, t in zip(keys, (pa.string(), pa.int64(), pa.int32()), strict=True)]
+        return pa.Table.from_arrays([*same, pa.array(range(n), pa.int32()), pa.array([n] * n, pa.int32()), pa.array([deflated(b) if compress else b for b in bodies], pa.binary())], [c.split()[0] for c in MESSAGES.split(", ")])
+
+    return joined.groupBy(*keys).applyInArrow(run, MESSAGES)
+
+
+def unpack_clouds(messages: DataFrame) -> DataFrame:
+    """Points of cloud messages, with the heading of their frame."""
+    schema = "seq_id string, epoch long, frame int, seq int, yaw_cd int, x float, y float, z float, cls int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in schema.split(", ")]
+        for batch in batches:
+            for seq_id, body in zip(batch.column("seq_id").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                head, rows, cls, _ = read_chunk(body)
+                n = len(rows)
+                own = [pa.array([seq_id] * n, pa.string()), pa.array([head["epoch"]] * n, pa.int64()), *[pa.array([head[k]] * n, pa.int32()) for k in ("frame", "seq", "yaw_cd")]]
+                yield pa.RecordBatch.from_arrays([*own, *[pa.array(rows[:, k].copy()) for k in range(3)], pa.array(cls.astype(np.int32))], names)
+
+    return messages.select("seq_id", "body").mapInArrow(run, schema)
+
+
 def complete_frames(messages: DataFrame) -> DataFrame:
     """Frames of which every chunk has arrived."""
     return messages.groupBy("seq_id", "epoch", "frame").agg(F.count_distinct("seq").alias("n"), F.max("total").alias("total")).filter("n = total").drop("n")

@@ -112,9 +112,9 @@ def test_accumulated_cloud_equals_loop(spark):
     for k in range(4):
         a = 0.2 * k
         poses.append(np.array([[math.cos(a), -math.sin(a), 0, k], [math.sin(a), math.cos(a), 0, 0.5], [0, 0, 1, 0.1 * k], [0, 0, 0, 1]]))
-    df = spark.createDataFrame([(f, i, *map(float, v), 0) for f, m in pts.items() for i, v in enumerate(m)], "frame int, pid int, x double, y double, z double, cls int")
+    df = spark.createDataFrame([("08", f, i, *map(float, v), 0) for f, m in pts.items() for i, v in enumerate(m)], "seq_id string, frame int, pid int, x double, y double, z double, cls int")
     pose_df = spark.createDataFrame([(k, [float(v) for v in m.ravel()]) for k, m in enumerate(poses)], "pose_id int, pose array<double>")
-    got = cloud.accumulate(cloud.world_points(df, pose_df, 4), pose_df, 4, s).toPandas()
+    got = cloud.accumulate(cloud.world_points(df, pose_df), pose_df, s).toPandas()
     for f in range(6):
         hist = [pts[g] @ poses[g % 4][:3, :3].T + poses[g % 4][:3, 3] for g in range(max(0, f - 2), f + 1)]
         stride = max(1, math.ceil(sum(map(len, hist)) / 40))
