@@ -50,7 +50,7 @@ def events(cell_rows: DataFrame, schedule: DataFrame, s: StreamParams, key: str
     interval long in steady state. One shuffle on the cell serves windows, fold and frees.
     """
     sent = schedule.filter("delivered")
-    heads = F.broadcast(sent.select(key, "frame", "kind", "ordinal"))  # one row a frame
+    heads = sent.select(key, "frame", "kind", "ordinal")  # one row a frame, broadcast if its size allows
     rows = cell_rows.select(key, "frame", "cell", "z_max", "cls").join(heads, [key, "frame"])
     order = Window.partitionBy(key, "cell").orderBy("ordinal")
     before, after = F.lag("ordinal").over(order), F.lead("ordinal").over(order)
@@ -72,7 +72,7 @@ def events(cell_rows: DataFrame, schedule: DataFrame, s: StreamParams, key: str
     init = F.struct(F.lit(None).cast("double").alias("z"), F.lit(None).cast("int").alias("c"), F.array().cast(kind).alias("out"))
     told = folded.withColumn("e", F.explode(F.aggregate("steps", init, step, lambda a: a["out"]))).select(key, "cell", "e.frame", "e.op", "e.z_max", "e.cls")
     following = sent.select(key, F.col("frame").alias("next_frame"), (F.col("ordinal") - 1).alias("ordinal"), F.col("kind").alias("next_kind"))
-    gone = marked.filter("leaves").join(F.broadcast(following.filter("next_kind = 'delta'")), [key, "ordinal"])
+    gone = marked.filter("leaves").join(following.filter("next_kind = 'delta'"), [key, "ordinal"])
     freed = gone.select(key, "cell", F.col("next_frame").alias("frame"), F.lit("freed").alias("op"), F.lit(None).cast("double").alias("z_max"), F.lit(None).cast("int").alias("cls"))
     return told.unionByName(freed)
 
@@ -92,7 +92,7 @@ def materialize(told: DataFrame, schedule: DataFrame, key: str = "seq_id", gap_p
         order = Window.partitionBy(key).orderBy("frame")
         gaps = sent.withColumn("before", F.lag("frame").over(order)).filter((F.col("kind") == "delta") & (F.col("frame") - F.col("before") > 1))
         snap = snap.join(gaps.groupBy(key).agg(F.max("frame").alias("gap")), key, "left").select(key, F.greatest("base", F.coalesce("gap", F.lit(0))).alias("base"))
-    recent = told.join(F.broadcast(snap), key).filter(F.col("frame") >= F.col("base"))
+    recent = told.join(snap, key).filter(F.col("frame") >= F.col("base"))
     last = recent.groupBy(key, "cell").agg(F.max_by(F.struct("op", "z_max", "cls", "frame"), "frame").alias("e"))
     return last.filter("e.op <> 'freed'").select(key, "cell", "e.z_max", "e.cls", F.col("e.frame").alias("sent_frame"))
 
@@ -114,12 +114,17 @@ def frozen(frames: DataFrame, freeze_frame: int) -> DataFrame:
     return frames.filter(F.col("frame") <= freeze_frame)
 
 
-def frame_gaps(frames: DataFrame, key: str = "seq_id") -> DataFrame:
-    """Frames missing before each frame."""
-    order = Window.partitionBy(key).orderBy("frame")
+def frame_gaps(frames: DataFrame, *keys: str) -> DataFrame:
+    """Frames missing before each frame of its sequence (or of other ``keys``)."""
+    order = Window.partitionBy(*(keys or ("seq_id",))).orderBy("frame")
     return frames.withColumn("missing", F.coalesce(F.col("frame") - F.lag("frame").over(order) - 1, F.lit(0)))
 
 
+def purged_slots(slots: DataFrame, delta_rows: DataFrame, keys: list[str], most: int = 50_000) -> DataFrame:
+    """Slots that a delta after a gap of frames did not send, at most ``most`` in the order of ``keys``."""
+    return slots.join(delta_rows, keys, "left_anti").orderBy(*keys).limit(most)
+
+
 def stale_cells(slots: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
     return slots.join(cells, keys, "left_anti")
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 from pyspark.sql.types import StructType
 
 from polargrain.operators import grid as grid_ops
@@ -21,6 +21,11 @@ def stream_points(spark: SparkSession, path: str, schema: str | StructType, file
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_trigger).parquet(path)
 
 
+def seek_points(points: DataFrame, frame: int, epoch: int) -> DataFrame:
+    """A stream from ``frame`` on, marked with the epoch of the jump; it needs a checkpoint of its own."""
+    return points.filter(F.col("frame") >= frame).withColumn("epoch", F.lit(epoch).cast("long"))
+
+
 def event_time(frame, s: StreamParams):
     return F.timestamp_micros((frame.cast("double") / s.native_hz * 1_000_000).cast("long"))
 
@@ -31,6 +36,20 @@ def stream_cells(points: DataFrame, grid: GridParams, s: StreamParams, lateness:
     return grid_ops.reduce_cells(located, ["seq_id", "ts", "frame"], grid)
 
 
+#: Input of the stateful deltas: a row a cell, and for every frame one marker row without a cell
+#: that carries how many cells the frame has. A frame without cells is its marker alone.
+MARKED = "seq_id string, epoch long, frame int, delivered boolean, n_cells int, cell long, z_max double, cls int"
+
+
+def with_markers(cells: DataFrame, frames: DataFrame) -> DataFrame:
+    """``MARKED`` rows of cells (seq_id, epoch, frame, cell, z_max, cls) and frames (seq_id, epoch, frame, delivered)."""
+    keys = ["seq_id", "epoch", "frame"]
+    sizes = cells.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    marks = frames.join(sizes, keys, "left").select(*keys, "delivered", F.coalesce("n", F.lit(0)).alias("n_cells"), F.lit(None).cast("long").alias("cell"), F.lit(None).cast("double").alias("z_max"), F.lit(None).cast("int").alias("cls"))
+    rows = cells.join(frames, keys).select(*keys, "delivered", F.lit(None).cast("int").alias("n_cells"), "cell", "z_max", "cls")
+    return marks.unionByName(rows)
+
+
 class DeltaFold:
     """Sent state of one (sequence, epoch): what a client knows, and when it last got everything."""
 
@@ -66,28 +85,93 @@ class DeltaFold:
         return "delta", out
 
 
-def stream_deltas(cells: DataFrame, s: StreamParams) -> DataFrame:
-    """Events of a stream of (seq_id, epoch, frame, delivered, cell, z_max, cls).
+class DeltaProcessor(StatefulProcessor):
+    """What the clients of one sequence know: a map from cell to the height and class sent last.
 
-    State is keyed by sequence and epoch, so a seek or a switch starts afresh; it holds the
-    rendered cells of one sensor. Frames of a batch are folded in order.
+    Frames are taken in order and only when all their rows have come, in however many
+    micro-batches; rows of a frame that is not beyond the last one taken, or of an older epoch,
+    are late and dropped. A newer epoch (a seek or a switch) clears everything. Only cells that
+    change are written to the map.
     """
-    state = "count int, last int, drops int, cells array<long>, heights array<double>, classes array<int>"
 
-    def fold(key: tuple, batches: Iterable[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        fold_ = DeltaFold(s, held.get if held.exists else None)
-        rows = pd.concat(list(batches))
-        out = []
-        for frame, part in rows.groupby("frame", sort=True):
-            hit = {int(c): (float(z), int(k)) for c, z, k in zip(part["cell"], part["z_max"], part["cls"], strict=True)}
-            kind, told = fold_.frame(hit, bool(part["delivered"].iloc[0]))
-            out += [(key[0], int(key[1]), int(frame), kind, *e) for e in told]
-        held.update(fold_.saved())
-        frame = pd.DataFrame(out, columns=["seq_id", "epoch", "frame", "kind", "op", "cell", "z_max", "cls"])
-        yield frame.astype({"cls": "Int32", "z_max": "Float64"})
+    def __init__(self, s: StreamParams):
+        self.s = s
+
+    def init(self, handle) -> None:
+        self.place = handle.getValueState("place", "epoch long, frame int, count int, last int, drops int")
+        self.sent = handle.getMapState("sent", "cell long", "z double, kind int")
+        self.rows = handle.getMapState("rows", "frame int, cell long", "z double, kind int")
+        self.marks = handle.getMapState("marks", "frame int", "n int, delivered boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows))
+        place = self.place.get() if self.place.exists() else None
+        epoch, last = (place[0], place[1]) if place else (-1, -1)
+        before = {k[0]: (v[0], v[1]) for k, v in self.sent.iterator()} if self.sent.exists() else {}
+        fold = DeltaFold(self.s)
+        fold.count, fold.last, fold.drops = place[2:5] if place else (0, 0, 0)
+        fold.sent = dict(before)
+        out: list[tuple] = []
+        for now, part in batch.groupby("epoch", sort=True):
+            if now < epoch:
+                continue
+            if now > epoch:
+                for state in (self.sent, self.rows, self.marks):
+                    state.clear()
+                epoch, last, before, fold = int(now), -1, {}, DeltaFold(self.s)
+            part = part[part["frame"] > last]
+            marks = {k[0]: (v[0], v[1]) for k, v in self.marks.iterator()} if self.marks.exists() else {}
+            pending: dict[int, dict[int, tuple[float, int]]] = {}
+            if self.rows.exists():
+                for k, v in self.rows.iterator():
+                    pending.setdefault(k[0], {})[k[1]] = (v[0], v[1])
+            kept = {(f, c) for f, cells in pending.items() for c in cells}
+            known = set(marks)
+            for f, n, ok, c, z, k in zip(*(part[c].tolist() for c in ("frame", "n_cells", "delivered", "cell", "z_max", "cls")), strict=True):
+                if pd.isna(c):
+                    marks[int(f)] = (int(n), bool(ok))
+                else:
+                    pending.setdefault(int(f), {})[int(c)] = (float(z), int(k))
+            for f in sorted(marks.keys() | pending.keys()):
+                if f not in marks or len(pending.get(f, {})) < marks[f][0]:
+                    break  # wait for the rest of this frame
+                kind, told = fold.frame(pending.pop(f, {}), marks.pop(f)[1])
+                out += [(epoch, f, kind, *e) for e in told]
+                last = f
+            left = {(f, c) for f, cells in pending.items() for c in cells}
+            for f, c in kept - left:
+                self.rows.removeKey((f, c))
+            for f, c in left - kept:
+                self.rows.updateValue((f, c), pending[f][c])
+            for f in known - set(marks):
+                self.marks.removeKey((f,))
+            for f in set(marks) - known:
+                self.marks.updateValue((f,), marks[f])
+        for c in before.keys() - fold.sent.keys():
+            self.sent.removeKey((c,))
+        for c, v in fold.sent.items():
+            if before.get(c) != v:
+                self.sent.updateValue((c,), v)
+        self.place.update((epoch, last, fold.count, fold.last, fold.drops))
+        frame = pd.DataFrame([(key[0], *row) for row in out], columns=["seq_id", "epoch", "frame", "kind", "op", "cell", "z_max", "cls"])
+        yield frame.astype({"epoch": "int64", "frame": "int32", "cell": "int64", "cls": "Int32", "z_max": "Float64"})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_deltas(marked: DataFrame, s: StreamParams) -> DataFrame:
+    """Events of a stream of ``MARKED`` rows; state is one map a sequence, of the current epoch only.
+
+    Needs the RocksDB state store (see :func:`use_map_state`).
+    """
+    grouped = marked.select(*[F.col(c.split()[0]) for c in MARKED.split(", ")]).groupBy("seq_id")
+    return grouped.transformWithStateInPandas(DeltaProcessor(s), EVENTS, "Append", "None")
 
-    grouped = cells.select("seq_id", F.col("epoch").cast("long").alias("epoch"), "frame", "delivered", "cell", "z_max", "cls").groupBy("seq_id", "epoch")
-    return grouped.applyInPandasWithState(fold, EVENTS, state, "append", GroupStateTimeout.NoTimeout)
+
+def use_map_state(spark: SparkSession) -> None:
+    """Choose the state store that holds maps key by key."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
@@ -103,20 +187,43 @@ def deliver(stream: DataFrame, send: Callable[[DataFrame, int], None], checkpoin
 
 
 class Player:
-    """Play, pause, seek and switch a sequence; each jump is a new epoch with a fresh query."""
+    """Play, pause, seek, speed, cloud and sequence of a live view; starts paused.
+
+    ``start(seq_id, epoch, frame, speed, cloud)`` returns a running query. A jump is a new epoch
+    with a fresh query; while paused it renders one preview frame, if ``preview`` is given. A
+    change of speed or cloud goes on from the frame that ``position`` reports, in the same epoch.
+    """
 
-    def __init__(self, start: Callable[[str, int, int], object], n_frames: int, seq_id: str):
-        self.start, self.n_frames, self.seq_id, self.epoch, self.query, self.at = start, n_frames, seq_id, 0, None, 0
+    def __init__(self, start: Callable[[str, int, int, float, bool], object], n_frames: int, seq_id: str, preview: Callable[[str, int, int], object] | None = None, position: Callable[[], int] | None = None):
+        self.start, self.n_frames, self.seq_id, self.preview, self.position = start, n_frames, seq_id, preview, position
+        self.epoch, self.query, self.at, self.speed, self.cloud = 0, None, 0, 1.0, False
 
     def play(self) -> None:
         if self.query is None:
-            self.query = self.start(self.seq_id, self.epoch, self.at)
+            self.query = self.start(self.seq_id, self.epoch, self.at, self.speed, self.cloud)
 
     def pause(self) -> None:
         if self.query is not None:
+            if self.position is not None:
+                self.at = self.position()
             self.query.stop()
             self.query = None
 
+    def _again(self) -> None:
+        if self.query is not None:
+            self.pause()
+            self.play()
+
+    def set_speed(self, speed: float) -> float:
+        """Times the native rate, from 0.1 to 10."""
+        self.speed = min(10.0, max(0.1, speed))
+        self._again()
+        return self.speed
+
+    def set_cloud(self, on: bool) -> None:
+        self.cloud = on
+        self._again()
+
     def seek(self, frame: int) -> int:
         playing = self.query is not None
         self.pause()
@@ -124,8 +231,15 @@ class Player:
         self.epoch += 1
         if playing:
             self.play()
+        elif self.preview is not None:
+            self.preview(self.seq_id, self.epoch, self.at)
         return self.epoch
 
     def switch(self, seq_id: str, n_frames: int) -> int:
         self.seq_id, self.n_frames = seq_id, n_frames
         return self.seek(0)
+
+
+def paced_interval(s: StreamParams, speed: float = 1.0) -> str:
+    """Trigger interval of one frame a micro-batch at ``speed`` times the native rate."""
+    return f"{max(1, round(1000.0 / (s.native_hz * speed)))} milliseconds"

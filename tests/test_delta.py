@@ -127,6 +127,22 @@ def test_frame_queue_is_atomic():
     assert q.drain() == ["t"] and (q.emitted, q.dropped) == (1, 1)
 
 
+def test_text_displaces_the_oldest_item_only():
+    q = sinks.FrameQueue(3)
+    q.emit_frame([b"1"], 1), q.emit_frame([b"2"], 2), q.emit_frame([b"3"], 3)
+    q.emit_text("t")
+    assert q.drain() == [b"2", b"3", "t"] and q.lost == [1] and (q.emitted, q.dropped) == (3, 0)
+    q.emit_frame([b"4"], 4)
+    assert not q.emit_frame([b"5"] * 3, 5) and q.lost == [1, 4] and q.dropped == 1
+
+
+def test_fan_out_leaves_dead_clients():
+    got, hub = [], sinks.FanOut()
+    hub.add("a", got.append)
+    hub.add("b", lambda m: 1 / 0)
+    assert hub.send([b"x", "y"]) == 2 and got == [b"x", "y"] and set(hub.clients) == {"a"}
+
+
 def test_player_seek_clamps_and_starts_epochs():
     class Query:
         stopped = False
@@ -138,11 +154,28 @@ def test_player_seek_clamps_and_starts_epochs():
     player = live.Player(lambda *a: begun.append(a) or Query(), 10, "08")
     player.play()
     first = player.query
-    assert player.seek(99) == 1 and first.stopped and begun[-1] == ("08", 1, 9)
+    assert player.seek(99) == 1 and first.stopped and begun[-1][:3] == ("08", 1, 9)
     player.pause()
     assert player.seek(-3) == 2 and player.query is None and player.at == 0
 
 
+def test_player_starts_paused_and_previews():
+    begun, seen = [], []
+
+    class Query:
+        def stop(self):
+            pass
+
+    player = live.Player(lambda *a: begun.append(a) or Query(), 10, "08", lambda *a: seen.append(a), lambda: 6)
+    assert player.query is None and player.seek(4) == 1 and seen == [("08", 1, 4)] and not begun
+    player.play()
+    assert player.set_speed(99) == 10.0 and begun == [("08", 1, 4, 1.0, False), ("08", 1, 6, 10.0, False)]
+    player.set_cloud(True)
+    assert begun[-1] == ("08", 1, 6, 10.0, True)
+    assert player.switch("09", 3) == 2 and begun[-1] == ("09", 2, 0, 10.0, True) and len(seen) == 1
+    assert live.paced_interval(S, 2.0) == "50 milliseconds"
+
+
 def test_injected_block_is_added_once():
     once = sinks.injected("# t\n", "| a |")
     assert once.count("| a |") == 1 and sinks.injected(once, "| b |") == once
