@@ -30,32 +30,39 @@ def label_image(points: DataFrame, p: ProjectionParams, keys: tuple[str, ...] =
     return nearest(proj.project(points, p), keys, (label,), order).withColumnRenamed(label, "label")
 
 
-def flipped(pixels: DataFrame, p: ProjectionParams, keys: tuple[str, ...] = ("frame",), probability: float = 0.5, seed: int = 0) -> DataFrame:
-    """Mirrored columns for a repeatable share of frames; coordinates are not negated."""
-    draw = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
-    return pixels.withColumn("col", F.when(draw < probability, p.w - 1 - F.col("col")).otherwise(F.col("col")).cast("int"))
+def draws(pixels: DataFrame, keys: tuple[str, ...], seed: int, n: int) -> DataFrame:
+    """One row a frame with ``n`` repeatable draws u0, u1, ... in [0, 1), from digests of the keys and the seed."""
+    frames = pixels.select(*keys).distinct()
+    text = lambda k: F.concat_ws("|", *[F.col(c).cast("string") for c in keys], F.lit(str(seed)), F.lit(str(k)))
+    return frames.select(*keys, *[(F.conv(F.substring(F.md5(text(k)), 1, 8), 16, 10).cast("double") / float(1 << 32)).alias(f"u{k}") for k in range(n)])
+
 
+def _drawn(pixels: DataFrame, keys: tuple[str, ...], seed: int, n: int) -> DataFrame:
+    # one row a frame, broadcast if its size allows
+    return pixels.join(draws(pixels, keys, seed, n), list(keys))
 
-def _normal(keys: tuple[str, ...], seed: int):
-    u1 = (F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 20)) + 0.5) / float(1 << 20)
-    u2 = F.pmod(F.xxhash64(*keys, F.lit(seed + 1)), F.lit(1 << 20)) / float(1 << 20)
-    return F.sqrt(-2.0 * F.log(u1)) * F.cos(u2 * (2 * np.pi))
+
+def flipped(pixels: DataFrame, p: ProjectionParams, keys: tuple[str, ...] = ("frame",), probability: float = 0.5, seed: int = 0) -> DataFrame:
+    """Mirrored columns for a repeatable share of frames; coordinates are not negated."""
+    drawn = _drawn(pixels, keys, seed, 1)
+    return drawn.withColumn("col", F.when(F.col("u0") < probability, p.w - 1 - F.col("col")).otherwise(F.col("col")).cast("int")).select(*pixels.columns)
 
 
 def jittered(pixels: DataFrame, keys: tuple[str, ...] = ("frame",), probability: float = 0.3, std: float = 0.05, seed: int = 10) -> DataFrame:
-    """Remission scaled by one factor a frame and clamped to [0, 1], for a share of frames."""
-    draw = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
-    scaled = F.least(F.greatest(F.col("ch4") * (1.0 + std * _normal(keys, seed + 1)), F.lit(0.0)), F.lit(1.0))
-    return pixels.withColumn("ch4", F.when(draw < probability, scaled).otherwise(F.col("ch4")))
+    """Remission scaled by one normal factor a frame and clamped to [0, 1], for a share of frames."""
+    drawn = _drawn(pixels, keys, seed, 3)
+    normal = F.sqrt(-2.0 * F.log(1.0 - F.col("u1"))) * F.cos(F.col("u2") * (2 * np.pi))
+    scaled = F.least(F.greatest(F.col("ch4") * (1.0 + std * normal), F.lit(0.0)), F.lit(1.0))
+    return drawn.withColumn("ch4", F.when(F.col("u0") < probability, scaled).otherwise(F.col("ch4"))).select(*pixels.columns)
 
 
 def cut_out(pixels: DataFrame, p: ProjectionParams, keys: tuple[str, ...] = ("frame",), probability: float = 0.3, height: int = 16, width: int = 256, seed: int = 20) -> DataFrame:
     """All channels zero in one window of a share of frames; labels stay."""
-    draw = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
-    top = F.pmod(F.xxhash64(*keys, F.lit(seed + 1)), F.lit(max(p.h - height, 1)))
-    left = F.pmod(F.xxhash64(*keys, F.lit(seed + 2)), F.lit(max(p.w - width, 1)))
-    hit = (draw < probability) & F.col("row").between(top, top + height - 1) & F.col("col").between(left, left + width - 1)
-    return pixels.withColumns({f"ch{k}": F.when(hit, F.lit(0.0)).otherwise(F.col(f"ch{k}")) for k in range(5)})
+    drawn = _drawn(pixels, keys, seed, 3)
+    top = F.floor(F.col("u1") * max(p.h - height, 1))
+    left = F.floor(F.col("u2") * max(p.w - width, 1))
+    hit = (F.col("u0") < probability) & F.col("row").between(top, top + height - 1) & F.col("col").between(left, left + width - 1)
+    return drawn.withColumns({f"ch{k}": F.when(hit, F.lit(0.0)).otherwise(F.col(f"ch{k}")) for k in range(5)}).select(*pixels.columns)
 
 
 def augmented(pixels: DataFrame, p: ProjectionParams, keys: tuple[str, ...] = ("frame",), seed: int = 0) -> DataFrame:

@@ -10,7 +10,7 @@ from polargrain.functions import display
 from polargrain.operators import metrics
 from polargrain.plans import queries_grid, sql
 from polargrain.plans.config import GridParams, StreamParams
-from polargrain.plans.queries_grid import r6
+from polargrain.plans.queries_grid import d6, r6
 from polargrain.plans.queries_image import _SOFT
 from polargrain.sources import kitti, wire
 from polargrain.sources import testviews as views
@@ -64,7 +64,7 @@ def latency_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def perf_rolling_100(spark: SparkSession, d: str) -> DataFrame:
     w = metrics.perf_window(views.frame_stats(spark, d), "proc_ms", ["ts", "event_id"], ("stage",))
-    return w.select("stage", "event_id", r6("mean_ms"), r6("fps"), r6("p50_ms"), r6("p95_ms"))
+    return w.select("stage", "event_id", d6("mean_ms"), d6("fps"), d6("p50_ms"), d6("p95_ms"))
 
 
 def perf_by_stage(spark: SparkSession, d: str) -> DataFrame:
@@ -88,7 +88,7 @@ def _history(spark: SparkSession, d: str) -> DataFrame:
 
 
 def history_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.history_latest(_history(spark, d)).select("step", "line_no", r6("miou_4class"))
+    return metrics.history_latest(_history(spark, d), by=("run",)).select("run", "step", "line_no", r6("miou_4class"))
 
 
 def history_peak(spark: SparkSession, d: str) -> DataFrame:
@@ -96,9 +96,9 @@ def history_peak(spark: SparkSession, d: str) -> DataFrame:
 
 
 def early_stop_islands(spark: SparkSession, d: str) -> DataFrame:
-    h = metrics.history_latest(_history(spark, d).filter("run = 'view'"))
-    e = metrics.early_stop(h, "miou_4class", 15)
-    return e.select("step", "better", F.col("waited").cast("long").alias("waited"), r6("best"), "stopped")
+    h = metrics.history_latest(_history(spark, d), by=("run",))
+    e = metrics.early_stop(h, "miou_4class", 15, ("run",))
+    return e.select("run", "step", "better", F.col("waited").cast("long").alias("waited"), r6("best"), "stopped")
 
 
 def lr_schedule(spark: SparkSession, d: str) -> DataFrame:
@@ -106,12 +106,20 @@ def lr_schedule(spark: SparkSession, d: str) -> DataFrame:
     return steps.select("step", F.round(display.learning_rate(F.col("step"), 5.0e-4, 500, 2000), 9).alias("lr"))
 
 
-def lovasz_loss(spark: SparkSession, d: str) -> DataFrame:
-    v = views.logits(spark, d)
+def _loss_pixels(spark: SparkSession, d: str) -> DataFrame:
     from polargrain.functions.projection import softmax
 
-    rows = v.select("vec_id", F.get(softmax(F.col("logits")), F.lit(1)).alias("p"), F.pmod("vec_id", F.lit(5)).cast("int").alias("t"))
-    return metrics.lovasz_softmax(rows, 1, F.col("p"), F.col("t")).select(r6("loss"))
+    return views.logits(spark, d).select("vec_id", softmax(F.col("logits")).alias("probs"), F.when(F.pmod("vec_id", F.lit(11)) == 0, 255).otherwise(F.pmod("vec_id", F.lit(5))).cast("int").alias("t"))
+
+
+def lovasz_loss(spark: SparkSession, d: str) -> DataFrame:
+    """Every class of all pixels that count."""
+    return metrics.lovasz_softmax(_loss_pixels(spark, d).filter("t <> 255"), "probs", "t", 5).select("cls", r6("loss"))
+
+
+def segmentation_loss(spark: SparkSession, d: str) -> DataFrame:
+    weights = F.array(*[F.lit(v) for v in (0.5, 1.0, 1.5, 2.0, 2.5)])
+    return metrics.segmentation_loss(_loss_pixels(spark, d), "probs", "t", weights, 5).select(r6("cross_entropy"), r6("lovasz"), r6("loss"))
 
 
 def sequence_catalog(spark: SparkSession, d: str) -> DataFrame:
@@ -128,6 +136,8 @@ def _shared(spark: SparkSession, name: str) -> str:
 
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="polargrain-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -145,15 +155,39 @@ def stream_grid_cells(spark: SparkSession, d: str) -> DataFrame:
     return out.select("frame", "ring", "sector", "n_pts", r6("z_min"), r6("z_max"), r6("z_mean"), "cls")
 
 
+def _write_batches(rows: DataFrame, path: str, turn: str) -> None:
+    """Write rows as one file for every value of ``turn``, in its order, for a stream of one file a micro-batch."""
+    for (k,) in rows.select(turn).distinct().orderBy(turn).collect():
+        rows.filter(F.col(turn) == k).drop(turn).coalesce(1).write.mode("append").parquet(path)
+
+
 def stream_delta(spark: SparkSession, d: str) -> DataFrame:
-    """Events by the stateful operator, one batch a frame."""
+    """Events by the stateful operator over more than 24 micro-batches, one or two a frame.
+
+    Frame 5 is split over two batches, frame 3 comes once more when it is late, frame 20 has no
+    cells, and an older epoch comes first and once more at the end.
+    """
+    live.use_map_state(spark)
     src = _shared(spark, "stream-cells")
-    frames = queries_grid._frames(spark)
-    cells = queries_grid._sequence_cells(spark, d).join(F.broadcast(frames), ["seq_id", "frame"]).withColumn("epoch", F.lit(0).cast("long")).coalesce(1).sortWithinPartitions("frame")
-    cells.select("seq_id", "epoch", "frame", "delivered", "cell", "z_max", "cls").write.parquet(f"{src}/in")
-    stream = live.stream_points(spark, f"{src}/in", "seq_id string, epoch long, frame int, delivered boolean, cell long, z_max double, cls int")
-    out = live.run_available(live.stream_deltas(stream, STREAM), f"{src}/out", f"{src}/check")
-    return out.select("seq_id", "cell", "frame", "op", r6("z_max"), "cls")
+    frames = queries_grid._frames(spark).withColumn("epoch", F.lit(1).cast("long"))
+    cells = queries_grid._sequence_cells(spark, d).filter("frame <> 20").withColumn("epoch", F.lit(1).cast("long"))
+    marked = live.with_markers(cells, frames)
+    split = (F.col("frame") == 5) & (F.pmod(F.coalesce("cell", F.lit(0)), F.lit(2)) == 1)
+    ordered = marked.withColumn("turn", F.col("frame") * 10 + F.when(split, 5).otherwise(0))
+    late = marked.filter("frame = 3").withColumn("turn", F.lit(145))
+    old = marked.filter("frame <= 2").withColumn("epoch", F.lit(0).cast("long"))
+    both = ordered.unionByName(late).unionByName(old.withColumn("turn", F.lit(0))).unionByName(old.withColumn("turn", F.lit(999)))
+    held = f"{src}/rows"
+    both.select([c.split()[0] for c in live.MARKED.split(", ")] + ["turn"]).write.parquet(held)
+    _write_batches(spark.read.parquet(held), f"{src}/in", "turn")
+    stream = live.stream_points(spark, f"{src}/in", live.MARKED)
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")  # state is split by sequence, and there is one
+    try:
+        out = live.run_available(live.stream_deltas(stream, STREAM), f"{src}/out", f"{src}/check")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    return out.filter("epoch = 1").select("seq_id", "cell", "frame", "op", r6("z_max"), "cls")
 
 
 def wire_roundtrip(spark: SparkSession, d: str) -> DataFrame:
@@ -169,7 +203,7 @@ def stats_messages(spark: SparkSession, d: str) -> DataFrame:
     return wire.json_rows(s, "stats")
 
 
-QUERIES = {f.__name__: f for f in (confusion_5, confusion_4, confusion_by_band, confusion_pivot, confusion_row_normalized, iou_per_class, miou, miou_by_band, latency_stats, perf_rolling_100, perf_by_stage, perf_buckets_30, perf_log_lines, history_dedupe, history_peak, early_stop_islands, lr_schedule, lovasz_loss, sequence_catalog, stream_grid_cells, stream_delta, wire_roundtrip, stats_messages)}
+QUERIES = {f.__name__: f for f in (confusion_5, confusion_4, confusion_by_band, confusion_pivot, confusion_row_normalized, iou_per_class, miou, miou_by_band, latency_stats, perf_rolling_100, perf_by_stage, perf_buckets_30, perf_log_lines, history_dedupe, history_peak, early_stop_islands, lr_schedule, lovasz_loss, segmentation_loss, sequence_catalog, stream_grid_cells, stream_delta, wire_roundtrip, stats_messages)}
 
 _C5 = f"{sql.PAIRS}, c5 AS (SELECT t, p, count(*) AS n FROM pr WHERE t <> 255 GROUP BY ALL)"
 _BANDED = f"""{sql.PAIRS}, b AS (SELECT *, {sql.BAND} AS band FROM pr WHERE t <> 255), s AS (SELECT 5 AS scheme, t, p, band FROM b UNION ALL SELECT 4, least(t, 3)::INT, least(p, 3)::INT, band FROM b),
@@ -177,6 +211,9 @@ bc AS (SELECT scheme::INT AS scheme, CASE WHEN grouping(band) = 1 THEN 'all' ELS
 _IOU = "(SELECT {by} k::INT AS cls, (SELECT sum(n) FROM {c} x WHERE {w} t = k AND p = k) AS i, (SELECT sum(n) FROM {c} x WHERE {w} (t = k OR p = k)) AS u FROM {f} range(5) q(k))"
 _FS = "fs AS (SELECT event_id, ts, event_type AS stage, value AS proc_ms FROM events)"
 _HIST = "h AS (SELECT event_type AS run, event_id // 7 AS step, event_id AS line_no, ((event_id * 37) % 1009) / 1009.0::DOUBLE AS m FROM events)"
+_LOVASZ = f"""{_SOFT}, v0 AS (SELECT p, CASE WHEN vec_id % 11 = 0 THEN 255 ELSE vec_id % 5 END::INT AS t FROM sm), y AS (SELECT k::INT AS cls, (t = k)::INT::DOUBLE AS y, abs((t = k)::INT - p[k + 1]) AS err FROM v0, range(5) q(k) WHERE t <> 255),
+j AS (SELECT cls, y, err, row_number() OVER w AS k, 1 - (sum(y) OVER (PARTITION BY cls) - sum(y) OVER w) / (sum(y) OVER (PARTITION BY cls) + row_number() OVER w - sum(y) OVER w) AS jac FROM y WINDOW w AS (PARTITION BY cls ORDER BY err DESC, y DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+st AS (SELECT cls, y, err * (jac - coalesce(lag(jac) OVER (PARTITION BY cls ORDER BY k), 0)) AS part FROM j), lv AS (SELECT cls, sum(part) AS loss FROM st GROUP BY cls HAVING sum(y) > 0)"""
 ORACLE_SQL = {
     "confusion_5": f"WITH {_C5} SELECT t, p, n FROM c5",
     "confusion_4": f"WITH {_BANDED} SELECT t, p, n FROM bc WHERE scheme = 4 AND g = 1",
@@ -187,22 +224,23 @@ ORACLE_SQL = {
     "miou": f"WITH {_C5} SELECT round(coalesce(avg(iou), 0.0), 6) AS miou FROM (SELECT coalesce(i, 0) / nullif(u, 0) AS iou FROM {_IOU.format(by='', c='c5', w='', f='')})",
     "miou_by_band": f"WITH {_BANDED}, b5 AS (SELECT * FROM bc WHERE scheme = 5), bs AS (SELECT DISTINCT band FROM b5) SELECT band, round(coalesce(avg(iou), 0.0), 6) AS miou FROM (SELECT band, coalesce(i, 0) / nullif(u, 0) AS iou FROM {_IOU.format(by='bs.band,', c='b5', w='x.band = bs.band AND', f='bs,')}) GROUP BY band",
     "latency_stats": f"WITH {_FS} SELECT stage, count(*) AS n, round(avg(proc_ms), 6) AS mean, round(stddev_pop(proc_ms), 6) AS std, round(min(proc_ms), 6) AS min, round(max(proc_ms), 6) AS max, round(quantile_cont(proc_ms, 0.5), 6) AS median, round(quantile_cont(proc_ms, 0.9), 6) AS p90 FROM fs GROUP BY stage",
-    "perf_rolling_100": f"WITH {_FS} SELECT stage, event_id, round(avg(proc_ms) OVER w, 6) AS mean_ms, round(1000 / greatest(avg(proc_ms) OVER w, 1e-3), 6) AS fps, round(quantile_cont(proc_ms, 0.5) OVER w, 6) AS p50_ms, round(quantile_cont(proc_ms, 0.95) OVER w, 6) AS p95_ms FROM fs WINDOW w AS (PARTITION BY stage ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)",
+    "perf_rolling_100": f"WITH {_FS}, v AS (SELECT stage, event_id, avg(proc_ms) OVER w AS m, quantile_cont(proc_ms, 0.5) OVER w AS p50, quantile_cont(proc_ms, 0.95) OVER w AS p95 FROM fs WINDOW w AS (PARTITION BY stage ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)) SELECT stage, event_id, {sql.d6('m')} AS mean_ms, {sql.d6('1000 / greatest(m, 1e-3)')} AS fps, {sql.d6('p50')} AS p50_ms, {sql.d6('p95')} AS p95_ms FROM v",
     "perf_by_stage": f"WITH {_FS} SELECT stage, count(*) AS n, round(avg(proc_ms), 6) AS mean_ms, round(quantile_cont(proc_ms, 0.5), 6) AS p50_ms, round(quantile_cont(proc_ms, 0.95), 6) AS p95_ms FROM fs GROUP BY stage",
     "perf_buckets_30": f"WITH {_FS}, n AS (SELECT *, (row_number() OVER (PARTITION BY stage ORDER BY ts, event_id) - 1) // 30 AS bucket FROM fs) SELECT stage, bucket, count(*) AS n, round(avg(proc_ms), 6) AS mean_ms FROM n GROUP BY ALL",
     "perf_log_lines": f"WITH {_FS}, a AS (SELECT *, proc_ms > 150 AS slow, coalesce(sum((proc_ms > 150)::INT) OVER (PARTITION BY stage ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS stretch FROM fs), b AS (SELECT *, (row_number() OVER (PARTITION BY stage, stretch ORDER BY ts, event_id) - 1) // 30 AS line FROM a) SELECT stage, stretch, line, count(*) AS n, round(avg(proc_ms), 6) AS mean_ms, bool_or(slow) AS slow FROM b GROUP BY stage, stretch, line HAVING count(*) = 30 OR bool_or(slow)",
-    "history_dedupe": f"WITH {_HIST} SELECT step, max(line_no) AS line_no, round(arg_max(m, line_no), 6) AS miou_4class FROM h GROUP BY step",
+    "history_dedupe": f"WITH {_HIST} SELECT run, step, max(line_no) AS line_no, round(arg_max(m, line_no), 6) AS miou_4class FROM h GROUP BY run, step",
     "history_peak": f"WITH {_HIST} SELECT round(max(m), 6) AS peak FROM h",
-    "early_stop_islands": f"""WITH {_HIST}, l AS (SELECT step, arg_max(m, line_no) AS m FROM h WHERE run = 'view' GROUP BY step),
-b AS (SELECT *, coalesce(m > max(m) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS better, max(m) OVER (ORDER BY step) AS best FROM l),
-r AS (SELECT *, sum(better::INT) OVER (ORDER BY step) AS run FROM b), w AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step) - 1 AS waited FROM r)
-SELECT step, better, waited, round(best, 6) AS best, max(waited) OVER (ORDER BY step) >= 15 AS stopped FROM w""",
+    "early_stop_islands": f"""WITH {_HIST}, l AS (SELECT run, step, arg_max(m, line_no) AS m FROM h GROUP BY run, step),
+b AS (SELECT *, coalesce(m > max(m) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS better, max(m) OVER (PARTITION BY run ORDER BY step) AS best FROM l),
+r AS (SELECT *, sum(better::INT) OVER (PARTITION BY run ORDER BY step) AS island FROM b), w AS (SELECT *, row_number() OVER (PARTITION BY run, island ORDER BY step) - 1 AS waited FROM r)
+SELECT run, step, better, waited, round(best, 6) AS best, max(waited) OVER (PARTITION BY run ORDER BY step) >= 15 AS stopped FROM w""",
     "lr_schedule": "SELECT step, round(0.0005::DOUBLE * CASE WHEN step < 500 THEN step / 500.0::DOUBLE ELSE 0.5 * (1 + cos(pi() * (step - 500) / 1500.0::DOUBLE)) END, 9) AS lr FROM range(0, 2001, 10) t(step)",
-    "lovasz_loss": f"WITH {_SOFT}, y AS (SELECT (vec_id % 5 = 1)::INT::DOUBLE AS y, abs((vec_id % 5 = 1)::INT - p[2]) AS err FROM sm), j AS (SELECT err, row_number() OVER w AS k, 1 - (sum(y) OVER () - sum(y) OVER w) / (sum(y) OVER () + row_number() OVER w - sum(y) OVER w) AS jac FROM y WINDOW w AS (ORDER BY err DESC, y DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), st AS (SELECT err * (jac - coalesce(lag(jac) OVER (ORDER BY k), 0)) AS part FROM j) SELECT round(sum(part), 6) AS loss FROM st",
+    "lovasz_loss": f"WITH {_LOVASZ} SELECT cls, round(loss, 6) AS loss FROM lv",
+    "segmentation_loss": f"WITH {_LOVASZ}, ce AS (SELECT sum(-(0.5::DOUBLE + 0.5 * t) * ln(greatest(p[t + 1], 1e-12))) / sum(0.5::DOUBLE + 0.5 * t) AS x FROM v0 WHERE t <> 255), m AS (SELECT avg(loss) AS x FROM lv) SELECT round(ce.x, 6) AS cross_entropy, round(m.x, 6) AS lovasz, round(ce.x + 0.5 * m.x, 6) AS loss FROM ce, m",
     "stats_messages": f"WITH {_FS}, n AS (SELECT (row_number() OVER (ORDER BY ts, event_id) - 1) // 30 AS bucket FROM fs) SELECT '{{\"type\":\"stats\",\"bucket\":' || bucket || ',\"n\":' || count(*) || '}}' AS message FROM n GROUP BY bucket",
     "sequence_catalog": """WITH f AS (SELECT lpad((o_custkey % 11)::VARCHAR, 2, '0') AS seq_id, CASE WHEN o_orderkey % 100 = 0 THEN 'p' WHEN o_orderkey % 3 = 1 THEN 'l' ELSE 'v' END AS k FROM orders)
 SELECT seq_id, count(*) FILTER (k = 'v') AS n_frames, bool_or(k = 'p') AS has_poses, bool_or(k = 'l') AS has_labels FROM f GROUP BY seq_id HAVING count(*) FILTER (k = 'v') > 0""",
     "stream_grid_cells": f"WITH {sql.CELLS} SELECT frame, ring, sector, n_pts, round(z_min, 6) AS z_min, round(z_max, 6) AS z_max, round(z_mean, 6) AS z_mean, cls FROM cells",
-    "stream_delta": f"WITH {sql.EVENTS} SELECT seq_id, cell, frame, op, round(z_max, 6) AS z_max, cls FROM ev",
+    "stream_delta": f"WITH {sql.EVENTS.replace('FROM s GROUP BY ALL', 'FROM s WHERE frame <> 20 GROUP BY ALL')} SELECT seq_id, cell, frame, op, round(z_max, 6) AS z_max, cls FROM ev",
     "wire_roundtrip": f"WITH {sql.CELLS}, {sql.GROUND}, {sql.TRAV} SELECT frame, ring, sector, round((round(z_mean - ground_z, 6))::FLOAT::DOUBLE, 4) AS z_mean, round((round(z_max - ground_z, 6))::FLOAT::DOUBLE, 4) AS z_max, round((round(trav, 6))::FLOAT::DOUBLE, 4) AS trav, cls FROM tt",
 }

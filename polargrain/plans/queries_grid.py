@@ -19,6 +19,11 @@ def r6(name: str, value=None):
     return F.round(F.col(name) if value is None else value, R).alias(name)
 
 
+def d6(name: str, value=None):
+    """Six places by way of decimals, which round ties alike everywhere."""
+    return F.round((F.col(name) if value is None else value).cast("decimal(28,9)"), R).cast("double").alias(name)
+
+
 def _cells(spark: SparkSession, d: str) -> DataFrame:
     return grid.cells(views.points(spark, d), GRID)
 
@@ -58,8 +63,10 @@ def grid_client_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def grid_neighbor_slope(spark: SparkSession, d: str) -> DataFrame:
     coarse = _cells(spark, d).withColumn("sector", F.floor(F.col("sector") / 20).cast("int")).withColumn("ring", F.floor(F.col("ring") / 40).cast("int"))
-    merged = coarse.groupBy("frame", "ring", "sector").agg(F.avg("z_mean").alias("z_mean"), F.lit(1.0).alias("occ"))
-    return grid.neighbor_slope(merged, GRID).select("frame", "ring", "sector", r6("max_step"), r6("slope"))
+    # sums of decimals do not depend on the order of rows
+    height = F.sum(F.col("z_mean").cast("decimal(18,9)")).cast("double") / F.count(F.lit(1))
+    merged = coarse.groupBy("frame", "ring", "sector").agg(height.alias("z_mean"), F.lit(1.0).alias("occ"))
+    return grid.neighbor_slope(merged, GRID).select("frame", "ring", "sector", d6("max_step"), d6("slope"))
 
 
 def grid_cell_traversability(spark: SparkSession, d: str) -> DataFrame:
@@ -155,13 +162,17 @@ def stale_frames(spark: SparkSession, d: str) -> DataFrame:
 
 
 def frame_gaps(spark: SparkSession, d: str) -> DataFrame:
-    frames = _epoch_rows(spark, d).filter("epoch = 3").select("seq_id", "frame").distinct()
-    return delta.frame_gaps(frames).select("seq_id", "frame", "missing")
+    frames = _epoch_rows(spark, d).select("seq_id", "epoch", "frame").distinct()
+    return delta.frame_gaps(frames, "seq_id", "epoch").select("seq_id", "epoch", "frame", "missing")
 
 
-def _world(spark: SparkSession, d: str) -> DataFrame:
+def _world_points(spark: SparkSession, d: str) -> DataFrame:
     p = views.xyz(spark, d).groupBy("frame", "pid").agg(F.min(F.struct("k1", "k2", "x", "y", "z", "cls")).alias("v")).select("frame", "pid", "v.x", "v.y", "v.z", "v.cls")
-    return cloud.world_points(p, views.poses(spark), 5)
+    return views.with_sequence(p)
+
+
+def _world(spark: SparkSession, d: str) -> DataFrame:
+    return cloud.world_points(_world_points(spark, d).withColumn("seq_id", F.lit("00")), views.poses(spark))
 
 
 def world_transform(spark: SparkSession, d: str) -> DataFrame:
@@ -169,11 +180,21 @@ def world_transform(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cloud_accumulate(spark: SparkSession, d: str) -> DataFrame:
-    s = StreamParams(cloud_frames=3, cloud_max=2000)
-    got = cloud.accumulate(_world(spark, d), views.poses(spark), 5, s)
+    got = cloud.accumulate(_world(spark, d), views.poses(spark), STREAM)
     return got.groupBy("at", "frame").agg(F.count(F.lit(1)).alias("n"), F.min("pid").alias("first_pid"), F.max("pid").alias("last_pid"), F.round(F.sum("ez"), 3).alias("sum_z"))
 
 
+def _two_clouds(spark: SparkSession, d: str) -> DataFrame:
+    poses = views.sequence_poses(spark)
+    return cloud.accumulate(cloud.world_points(_world_points(spark, d), poses), poses, StreamParams(cloud_frames=3, cloud_max=2000))
+
+
+def cloud_two_sequences(spark: SparkSession, d: str) -> DataFrame:
+    """Thinned and cut clouds of two sequences with poses of their own; coordinates are checked by sums of all axes."""
+    sums = [F.round(F.sum(F.round(c, 6).cast("decimal(18,6)")).cast("double"), 2).alias(f"sum_{c}") for c in ("ex", "ey", "ez")]
+    return _two_clouds(spark, d).groupBy("seq_id", "at", "frame").agg(F.count(F.lit(1)).alias("n"), F.min("pid").alias("first_pid"), F.max("pid").alias("last_pid"), *sums)
+
+
 def cloud_stride_sample(spark: SparkSession, d: str) -> DataFrame:
     p = views.points(spark, d).select("frame", "pid").distinct()
     return cloud.stride_sample(p, 100).select("frame", "pid", "stride")
@@ -181,14 +202,29 @@ def cloud_stride_sample(spark: SparkSession, d: str) -> DataFrame:
 
 def yaw_centidegrees(spark: SparkSession, d: str) -> DataFrame:
     frames = views.points(spark, d).select("frame").distinct()
-    return cloud.headings(frames, views.poses(spark), 5).select("frame", "yaw_cd")
+    return cloud.headings(frames, views.poses(spark)).select("frame", "yaw_cd")
 
 
-QUERIES = {f.__name__: f for f in (grid_cells, grid_majority_class, grid_ground_reference, grid_traversability, grid_tier_counts, grid_client_rows, grid_neighbor_slope, grid_cell_traversability, grid_memory_report, ring_occupancy_profile, sector_profile, ring_geometry, xy_cell_lookup, cell_hover, cell_display, delivery_schedule, grid_delta_events, grid_snapshot_rows, grid_event_counts, delta_size_stats, client_materialize, epoch_guard, stale_frames, frame_gaps, world_transform, cloud_accumulate, cloud_stride_sample, yaw_centidegrees)}
+QUERIES = {f.__name__: f for f in (grid_cells, grid_majority_class, grid_ground_reference, grid_traversability, grid_tier_counts, grid_client_rows, grid_neighbor_slope, grid_cell_traversability, grid_memory_report, ring_occupancy_profile, sector_profile, ring_geometry, xy_cell_lookup, cell_hover, cell_display, delivery_schedule, grid_delta_events, grid_snapshot_rows, grid_event_counts, delta_size_stats, client_materialize, epoch_guard, stale_frames, frame_gaps, world_transform, cloud_accumulate, cloud_two_sequences, cloud_stride_sample, yaw_centidegrees)}
 
 _POSES = """po AS (SELECT k AS pose_id, cos(0.1::DOUBLE * k) AS c, sin(0.1::DOUBLE * k) AS s, 1.5::DOUBLE * k AS tx, 0.25::DOUBLE * k AS ty, 0.125::DOUBLE * k AS a20 FROM range(5) t(k))"""
 _WORLD = f"""{sql.XYZ}, u AS (SELECT frame, pid, min(struct_pack(k1, k2, x, y, z, cls)) AS v FROM xyz GROUP BY ALL), {_POSES},
 w AS (SELECT frame, pid, v.cls AS cls, v.x * c - v.y * s + tx AS wx, v.x * s + v.y * c + ty AS wy, v.x * a20 + v.z AS wz FROM u JOIN po ON po.pose_id = u.frame % 5)"""
+_WORLD_SEQ = f"""{sql.XYZ}, u AS (SELECT frame, pid, min(struct_pack(k1, k2, x, y, z, cls)) AS v FROM xyz GROUP BY ALL),
+po AS (SELECT '00' AS seq_id, 5 AS n_poses, k AS pose_id, cos(0.1::DOUBLE * k) AS c, sin(0.1::DOUBLE * k) AS s, 1.5::DOUBLE * k AS tx, 0.25::DOUBLE * k AS ty, 0.125::DOUBLE * k AS a20 FROM range(5) t(k)
+  UNION ALL SELECT '01', 3, k, cos(-0.2::DOUBLE * k), sin(-0.2::DOUBLE * k), 1.5::DOUBLE * k, 0.25::DOUBLE * k, 0.125::DOUBLE * k FROM range(3) t(k)),
+w AS (SELECT po.seq_id, frame, pid, v.cls AS cls, v.x * c - v.y * s + tx AS wx, v.x * s + v.y * c + ty AS wy, v.x * a20 + v.z AS wz FROM u JOIN po ON po.seq_id = '0' || (u.pid % 2)::VARCHAR AND po.pose_id = u.frame % po.n_poses)"""
+
+
+def _clouds(keys: str, frames: int, most: int) -> str:
+    """SQL of the clouds of ``frames`` frames with ``most`` points at most; ``keys`` are frame, or seq_id and frame."""
+    seq = "seq_id, " if "seq_id" in keys else ""
+    same = "b.seq_id = a.seq_id AND" if seq else ""
+    return f"""n AS (SELECT {keys}, count(*) AS n FROM w GROUP BY {keys}), st AS (SELECT {seq.replace('seq_id', 'a.seq_id')} a.frame AS tick, greatest(1, ceil(sum(b.n) / {most}.0))::BIGINT AS stride FROM n a JOIN n b ON {same} b.frame BETWEEN a.frame - {frames - 1} AND a.frame GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY pid) - 1 AS k FROM w),
+h AS (SELECT * FROM (SELECT st.tick, a.*, row_number() OVER (PARTITION BY {seq.replace('seq_id', 'a.seq_id')} tick ORDER BY frame, k) AS place FROM k a JOIN st ON {'st.seq_id = a.seq_id AND' if seq else ''} a.frame BETWEEN tick - {frames - 1} AND tick WHERE a.k % stride = 0) WHERE place <= {most})"""
+
+
 _EPOCH = "ep AS (SELECT event_type AS seq_id, user_id % 7 AS epoch, (event_id % 97)::INT AS frame, event_id AS arrival FROM events)"
 _SLOPE = """sl AS (SELECT a.frame, a.ring, a.sector, coalesce(max(abs(a.z_mean - b.z_mean)), 0.0) AS max_step FROM {t} a LEFT JOIN {t} b
   ON b.frame = a.frame AND b.ring BETWEEN a.ring - 1 AND a.ring + 1 AND b.sector BETWEEN a.sector - 1 AND a.sector + 1 AND NOT (b.ring = a.ring AND b.sector = a.sector) GROUP BY ALL)"""
@@ -201,7 +237,7 @@ ORACLE_SQL = {
     "grid_traversability": f"WITH {sql.CELLS}, {sql.GROUND}, {sql.TRAV} SELECT frame, cell, round(height, 6) AS height, round(trav, 6) AS trav, tier FROM tt",
     "grid_tier_counts": f"WITH {sql.CELLS}, {sql.GROUND}, {sql.TRAV} SELECT frame, tier, count(*) AS n_cells FROM tt GROUP BY frame, tier",
     "grid_client_rows": f"WITH {sql.CELLS}, {sql.GROUND}, {sql.TRAV} SELECT frame, ring, sector, round(z_mean - ground_z, 6) AS z_mean, round(z_max - ground_z, 6) AS z_max, occ, round(trav, 6) AS trav, cls FROM tt",
-    "grid_neighbor_slope": f"WITH {sql.CELLS}, m AS (SELECT frame, ring // 40 AS ring, sector // 20 AS sector, avg(z_mean) AS z_mean FROM cells GROUP BY ALL), {_SLOPE.format(t='m')} SELECT frame, sl.ring, sector, round(max_step, 6) AS max_step, round(max_step / greatest(width, width * 2 * pi() / 720, 0.05), 6) AS slope FROM sl JOIN e ON e.ring = sl.ring",
+    "grid_neighbor_slope": f"WITH {sql.CELLS}, m AS (SELECT frame, ring // 40 AS ring, sector // 20 AS sector, sum(z_mean::DECIMAL(18,9))::DOUBLE / count(*) AS z_mean FROM cells GROUP BY ALL), {_SLOPE.format(t='m')} SELECT frame, sl.ring, sector, {sql.d6('max_step')} AS max_step, {sql.d6('max_step / greatest(width, width * 2 * pi() / 720, 0.05)')} AS slope FROM sl JOIN e ON e.ring = sl.ring",
     "grid_cell_traversability": f"WITH {sql.CELLS}, {_SLOPE.format(t='cells')} SELECT frame, cell, round((0.25::DOUBLE * {_SPREAD} + 0.25::DOUBLE * {_STEEP} + 0.35::DOUBLE * {sql.SCORE} + 0.15::DOUBLE * {sql.clip('occ')}) / 1.0::DOUBLE, 6) AS trav FROM cells JOIN sl USING (frame, ring, sector) JOIN e USING (ring)",
     "grid_memory_report": f"WITH {sql.CELLS} SELECT frame, count(*) AS rendered_cells, 469440::INT AS n_cells, 19247040::INT AS grid_bytes, 16000000::INT AS uniform_cells, 656.0::DOUBLE AS uniform_mb, 34.1::DOUBLE AS capacity_compression, count(*) * 41 AS rendered_bytes, round(count(*) * 41 / 1024.0::DOUBLE, 1) AS rendered_kb, round(16000000.0::DOUBLE / count(*), 1) AS compression_ratio FROM cells GROUP BY frame",
     "ring_occupancy_profile": f"WITH {sql.CELLS} SELECT ring, count(*) AS n_cells, sum(n_pts)::BIGINT AS n_pts, round(max(z_max), 6) AS z_top, round(avg(z_mean), 6) AS z_avg FROM cells GROUP BY ring",
@@ -218,13 +254,13 @@ ORACLE_SQL = {
     "client_materialize": f"WITH {sql.EVENTS}, b AS (SELECT max(frame) AS base FROM sched WHERE delivered AND kind = 'snapshot'), l AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY frame DESC) AS rn FROM ev, b WHERE frame >= base) SELECT seq_id, cell, round(z_max, 6) AS z_max, cls, frame AS sent_frame FROM l WHERE rn = 1 AND op <> 'freed'",
     "epoch_guard": f"WITH {_EPOCH} SELECT seq_id, epoch, frame, arrival FROM (SELECT *, max(epoch) OVER (PARTITION BY seq_id) AS top FROM ep) WHERE epoch = top",
     "stale_frames": f"WITH {_EPOCH} SELECT seq_id, frame, arrival FROM (SELECT *, max(frame) OVER (PARTITION BY seq_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM ep) WHERE top IS NULL OR frame > top",
-    "frame_gaps": f"WITH {_EPOCH}, f AS (SELECT DISTINCT seq_id, frame FROM ep WHERE epoch = 3) SELECT seq_id, frame, coalesce(frame - lag(frame) OVER (PARTITION BY seq_id ORDER BY frame) - 1, 0)::INT AS missing FROM f",
+    "frame_gaps": f"WITH {_EPOCH}, f AS (SELECT DISTINCT seq_id, epoch, frame FROM ep) SELECT seq_id, epoch, frame, coalesce(frame - lag(frame) OVER (PARTITION BY seq_id, epoch ORDER BY frame) - 1, 0)::INT AS missing FROM f",
     "world_transform": f"WITH {_WORLD} SELECT frame, pid, round(wx, 4) AS wx, round(wy, 4) AS wy, round(wz, 4) AS wz FROM w",
-    "cloud_accumulate": f"""WITH {_WORLD}, n AS (SELECT frame, count(*) AS n FROM w GROUP BY frame), tot AS (SELECT a.frame AS tick, sum(b.n) AS total FROM n a JOIN n b ON b.frame BETWEEN a.frame - 2 AND a.frame GROUP BY a.frame),
-st AS (SELECT tick, greatest(1, ceil(total / 2000.0))::BIGINT AS stride FROM tot), k AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY pid) - 1 AS k FROM w),
-h AS (SELECT tick, k.*, row_number() OVER (PARTITION BY tick ORDER BY frame, k) AS place FROM k JOIN st ON k.frame BETWEEN tick - 2 AND tick WHERE k.k % stride = 0),
-z AS (SELECT h.*, (wx - tx) * 0 + (wy - ty) * 0 + (wz - 0) AS ez FROM h JOIN po ON po.pose_id = h.tick % 5 WHERE place <= 2000)
-SELECT tick AS at, frame, count(*) AS n, min(pid) AS first_pid, max(pid) AS last_pid, round(sum(ez), 3) AS sum_z FROM z GROUP BY tick, frame""",
+    "cloud_accumulate": f"""WITH {_WORLD}, {_clouds("frame", 30, 60000)}
+SELECT tick AS at, frame, count(*) AS n, min(pid) AS first_pid, max(pid) AS last_pid, round(sum(ez), 3) AS sum_z FROM (SELECT h.*, wz - a20 * 0 AS ez FROM h JOIN po ON po.pose_id = h.tick % 5) GROUP BY tick, frame""",
+    "cloud_two_sequences": f"""WITH {_WORLD_SEQ}, {_clouds("seq_id, frame", 3, 2000)},
+z AS (SELECT h.*, (wx - tx) * c + (wy - ty) * s + wz * a20 AS ex, -(wx - tx) * s + (wy - ty) * c AS ey, wz AS ez FROM h JOIN po ON po.seq_id = h.seq_id AND po.pose_id = h.tick % po.n_poses)
+SELECT seq_id, tick AS at, frame, count(*) AS n, min(pid) AS first_pid, max(pid) AS last_pid, {', '.join(f'round(sum(round({c}, 6)::DECIMAL(18,6))::DOUBLE, 2) AS sum_{c}' for c in ('ex', 'ey', 'ez'))} FROM z GROUP BY seq_id, tick, frame""",
     "cloud_stride_sample": f"WITH {sql.POINTS}, d AS (SELECT DISTINCT frame, pid FROM p), k AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY pid) - 1 AS k, greatest(1, ceil(count(*) OVER (PARTITION BY frame) / 100.0))::BIGINT AS stride FROM d) SELECT frame, pid, stride FROM k WHERE k % stride = 0",
     "yaw_centidegrees": f"WITH {sql.POINTS}, {_POSES}, f AS (SELECT DISTINCT frame FROM p) SELECT frame, round_even(degrees(atan2(c, -a20)) * 100, 0)::BIGINT AS yaw_cd FROM f JOIN po ON po.pose_id = frame % 5",
 }

@@ -72,12 +72,12 @@ def softmax_argmax(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vote_3x3(spark: SparkSession, d: str) -> DataFrame:
-    # a dense image of 20 x 25 pixels of which the embeddings fill all or the first rows
+    # dense images of 20 x 25 pixels, 500 embeddings each
     p = ProjectionParams(h=20, w=25)
-    v = views.logits(spark, d).filter("vec_id < 500")
-    row, col = F.floor(F.col("vec_id") / 25).cast("int"), F.pmod("vec_id", F.lit(25)).cast("int")
-    pixels = v.select(F.lit(0).alias("frame"), row.alias("row"), col.alias("col"), proj.softmax(F.col("logits")).alias("probs"))
-    points = v.select(F.lit(0).alias("frame"), row.alias("row"), col.alias("col"), F.col("vec_id").alias("pid"))
+    v, inside = views.logits(spark, d), F.pmod("vec_id", F.lit(500))
+    frame, row, col = F.floor(F.col("vec_id") / 500).cast("int"), F.floor(inside / 25).cast("int"), F.pmod(inside, F.lit(25)).cast("int")
+    pixels = v.select(frame.alias("frame"), row.alias("row"), col.alias("col"), proj.softmax(F.col("logits")).alias("probs"))
+    points = v.select(frame.alias("frame"), row.alias("row"), col.alias("col"), F.col("vec_id").alias("pid"))
     voted = images.vote_3x3(points, pixels, p)
     return voted.select("pid", *[r6(f"p{k}", F.get("probs", F.lit(k))) for k in range(5)], "cls5")
 
@@ -100,8 +100,8 @@ ORACLE_SQL = {
     "class_weights": f"WITH {_COUNTS}, w AS (SELECT cls, n, 1 / sqrt(least(greatest(n / sum(n) OVER (), 1e-6), 1.0)) AS raw FROM n) SELECT cls, n, round(least(greatest(raw / median(raw) OVER (), 0.1), 5.0), 6) AS weight FROM w",
     "shard_assignment": "WITH f AS (SELECT DISTINCT (o_custkey % 5)::VARCHAR AS seq_id, o_orderkey AS frame FROM orders) SELECT seq_id, frame, (row_number() OVER (ORDER BY seq_id, frame) - 1) // 200 AS shard, row_number() OVER (PARTITION BY seq_id ORDER BY frame) - 1 AS sample FROM f",
     "softmax_argmax": f"WITH {_SOFT} SELECT vec_id, {', '.join(f'round(p[{k + 1}], 6) AS p{k}' for k in range(5))}, (list_position(v, list_max(v)) - 1)::INT AS cls5 FROM sm",
-    "vote_3x3": f"""WITH {_SOFT}, px AS (SELECT vec_id, vec_id // 25 AS r, vec_id % 25 AS c, p FROM sm WHERE vec_id < 500),
-o AS (SELECT i, j FROM range(-1, 2) a(i), range(-1, 2) b(j)), g AS (SELECT px.vec_id AS pid, least(greatest(r + i, 0), 19) AS r, least(greatest(c + j, 0), 24) AS c FROM px, o),
-m AS (SELECT pid, {', '.join(f'sum(coalesce(p[{k + 1}], 0)) / 9 AS p{k}' for k in range(5))} FROM g LEFT JOIN px USING (r, c) GROUP BY pid)
+    "vote_3x3": f"""WITH {_SOFT}, px AS (SELECT vec_id, vec_id // 500 AS f, vec_id % 500 // 25 AS r, vec_id % 25 AS c, p FROM sm),
+o AS (SELECT i, j FROM range(-1, 2) a(i), range(-1, 2) b(j)), g AS (SELECT px.vec_id AS pid, f, least(greatest(r + i, 0), 19) AS r, least(greatest(c + j, 0), 24) AS c FROM px, o),
+m AS (SELECT pid, {', '.join(f'sum(coalesce(p[{k + 1}], 0)) / 9 AS p{k}' for k in range(5))} FROM g LEFT JOIN px USING (f, r, c) GROUP BY pid)
 SELECT pid, {', '.join(f'round(p{k}, 6) AS p{k}' for k in range(5))}, (list_position([p0, p1, p2, p3, p4], greatest(p0, p1, p2, p3, p4)) - 1)::INT AS cls5 FROM m""",
 }

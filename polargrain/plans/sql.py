@@ -8,7 +8,7 @@ from polargrain.plans.config import GridParams
 
 GRID = GridParams()
 POINTS = """p AS (SELECT l_linenumber AS frame, l_orderkey * 10 + l_linenumber AS pid, l_partkey AS k1, l_suppkey AS k2,
-  0.525::DOUBLE + 2.4::DOUBLE * (l_partkey % 40) AS r, (((l_suppkey * 7 + l_orderkey) % 36) * 20)::INT AS sector,
+  0.526::DOUBLE + 2.4::DOUBLE * (l_partkey % 40) AS r, (((l_suppkey * 7 + l_orderkey) % 36) * 20)::INT AS sector,
   l_quantity / 10 - 2 AS z, ((l_suppkey + l_orderkey) % 4)::INT AS cls FROM lineitem)"""
 XYZ = f"""{POINTS}, v AS (SELECT *, (sector + 0.5::DOUBLE) * {math.pi!r}::DOUBLE / 360 - {math.pi!r}::DOUBLE AS theta FROM p),
 xyz AS (SELECT *, r * cos(theta) AS x, r * sin(theta) AS y, (pid % 100) / 100.0::DOUBLE AS remission FROM v)"""
@@ -27,6 +27,11 @@ def clip(x: str) -> str:
     return f"least(greatest({x}, 0.0::DOUBLE), 1.0::DOUBLE)"
 
 
+def d6(x: str) -> str:
+    """Six places by way of decimals, which round ties alike everywhere."""
+    return f"round(({x})::DECIMAL(28,9), 6)::DOUBLE"
+
+
 SCORE = "CASE cls WHEN 0 THEN 1.0 WHEN 1 THEN 0.6 WHEN 2 THEN 0.2 WHEN 3 THEN 0.1 ELSE 0 END::DOUBLE"
 TRAV = f"t AS (SELECT c.*, g.ground_z, z_max - ground_z AS height, (0.25::DOUBLE * {clip('1 - greatest(z_max - ground_z, 0) / 1.25::DOUBLE')} + 0.25::DOUBLE * {clip('1 - greatest(z_max - ground_z - 0.15::DOUBLE, 0) / 0.4::DOUBLE')} + 0.35::DOUBLE * {SCORE} + 0.15::DOUBLE * {clip('occ')}) / 1.0::DOUBLE AS trav FROM cells c JOIN g USING (frame)), tt AS (SELECT *, CASE WHEN trav >= 0.7 THEN 0 WHEN trav >= 0.4 THEN 1 ELSE 2 END::INT AS tier FROM t)"
 SEQUENCE = """s AS (SELECT '00' AS seq_id, ((l_orderkey * 31 + l_linenumber) % 24 + 1)::INT AS frame, (l_partkey % 40) * 720 + (l_suppkey * 7 + l_orderkey) % 12 AS cell,
@@ -55,7 +60,7 @@ ev AS (SELECT '00' AS seq_id, cell, frame, op, sent AS z_max, sent_cls AS cls FR
   UNION ALL
   SELECT '00', r1.cell, n.frame, 'freed', NULL, NULL FROM r1 JOIN sched n ON n.ordinal = r1.ordinal + 1 AND n.delivered WHERE r1.leaves AND n.kind = 'delta')"""
 BAND = "CASE WHEN rng < 5 THEN '0-5m' WHEN rng < 10 THEN '5-10m' WHEN rng < 20 THEN '10-20m' WHEN rng < 40 THEN '20-40m' WHEN rng < 80 THEN '40-80m' END"
-PAIRS = "pr AS (SELECT CASE WHEN l_linenumber = 7 THEN 255 ELSE l_suppkey % 5 END::INT AS t, CASE WHEN l_quantity > 10 THEN l_suppkey % 5 ELSE l_partkey % 5 END::INT AS p, 0.525::DOUBLE + 2.4::DOUBLE * (l_partkey % 40) AS rng FROM lineitem)"
+PAIRS = "pr AS (SELECT CASE WHEN l_linenumber = 7 THEN 255 ELSE l_suppkey % 5 END::INT AS t, CASE WHEN l_quantity > 10 THEN l_suppkey % 5 ELSE l_partkey % 5 END::INT AS p, 0.526::DOUBLE + 2.4::DOUBLE * (l_partkey % 40) AS rng FROM lineitem)"
 ROW = "least(greatest(floor((1 - (asin(z / rng) - radians(-24.8::DOUBLE)) / (radians(2.0::DOUBLE) - radians(-24.8::DOUBLE))) * 63), 0), 63)::INT"
 COL = f"least(greatest(floor((atan2(y, x) / {math.pi!r}::DOUBLE + 1) * 0.5 * 2048), 0), 2047)::INT"
 PROJECTED = f"{XYZ}, q AS (SELECT *, greatest(sqrt(x * x + y * y + z * z), 1e-6) AS rng FROM xyz), pj AS (SELECT *, {ROW} AS row, {COL} AS col FROM q)"

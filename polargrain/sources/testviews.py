@@ -1,7 +1,8 @@
 """Views that map the relational test tables to the engine's relations.
 
-Everything derives from integers and stays away from ring, sector and threshold borders, so
-that any SQL engine computes the same relations.
+Everything derives from integers and stays away from ring, sector and threshold borders, and
+ranges over the largest range have six places at most, so that any SQL engine computes and
+rounds the same relations.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     sector = F.pmod(F.col("l_suppkey") * 7 + F.col("l_orderkey"), F.lit(36)).cast("int") * 20
     return t.select(
         F.col("l_linenumber").alias("frame"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pid"), F.col("l_partkey").alias("k1"), F.col("l_suppkey").alias("k2"),
-        (F.lit(0.525) + F.lit(2.4) * F.pmod("l_partkey", F.lit(40))).alias("r"), sector.alias("sector"),
+        (F.lit(0.526) + F.lit(2.4) * F.pmod("l_partkey", F.lit(40))).alias("r"), sector.alias("sector"),
         ((sector + 0.5) * math.pi / 360 - math.pi).alias("theta"), (F.col("l_quantity") / 10 - 2).alias("z"),
         F.pmod(F.col("l_suppkey") + F.col("l_orderkey"), F.lit(4)).cast("int").alias("cls"),
     )
@@ -52,7 +53,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth = F.pmod("l_suppkey", F.lit(5)).cast("int")
     return t.select(
         F.when(F.col("l_linenumber") == 7, 255).otherwise(truth).alias("t"), F.when(F.col("l_quantity") > 10, truth).otherwise(F.pmod("l_partkey", F.lit(5)).cast("int")).alias("p"),
-        (F.lit(0.525) + F.lit(2.4) * F.pmod("l_partkey", F.lit(40))).alias("rng"),
+        (F.lit(0.526) + F.lit(2.4) * F.pmod("l_partkey", F.lit(40))).alias("rng"),
     )
 
 
@@ -72,10 +73,20 @@ def raw_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lineitem(spark, sf_dir).select(F.pmod("l_partkey", F.lit(260)).alias("raw_label"), F.col("l_linenumber").alias("frame"))
 
 
-def poses(spark: SparkSession, n: int = 5) -> DataFrame:
-    """A few poses that turn about the vertical and move forward: frame, row-major 4 x 4."""
+def with_sequence(points: DataFrame) -> DataFrame:
+    """Points dealt to two sequences by pid."""
+    return points.withColumn("seq_id", F.format_string("%02d", F.pmod("pid", F.lit(2))))
+
+
+def poses(spark: SparkSession, n: int = 5, turn: float = 0.1) -> DataFrame:
+    """A few poses that turn about the vertical and move forward: pose_id, row-major 4 x 4."""
     rows = []
     for k in range(n):
-        a = 0.1 * k
+        a = turn * k
         rows.append((k, [math.cos(a), -math.sin(a), 0.0, 1.5 * k, math.sin(a), math.cos(a), 0.0, 0.25 * k, 0.125 * k, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0]))
     return spark.createDataFrame(rows, "pose_id int, pose array<double>")
+
+
+def sequence_poses(spark: SparkSession) -> DataFrame:
+    """Five poses of sequence 00 and three of sequence 01, which turn the other way."""
+    return poses(spark, 5).withColumn("seq_id", F.lit("00")).unionByName(poses(spark, 3, -0.2).withColumn("seq_id", F.lit("01")))
