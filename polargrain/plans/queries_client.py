@@ -116,7 +116,7 @@ def peak_by_stage(spark: SparkSession, d: str) -> DataFrame:
 
 def step_rates(spark: SparkSession, d: str) -> DataFrame:
     rows = views.frame_stats(spark, d).withColumn("loss", F.pmod("event_id", F.lit(64)) / 64.0)
-    return metrics.step_rates(rows, "loss", "proc_ms", ["ts", "event_id"], ("stage",)).select("stage", "bucket", "n", r6("mean_loss"), r6("steps_per_s"))
+    return metrics.step_rates(rows, "loss", "proc_ms", ["ts", "event_id"], ("stage",)).select("stage", "bucket", "n", d6("mean_loss"), d6("steps_per_s"))
 
 
 def bench_averages(spark: SparkSession, d: str) -> DataFrame:
@@ -169,7 +169,7 @@ ORACLE_SQL = {
     "purged_slots": f"WITH {sql.EVENTS}, sl AS (SELECT frame + 1 AS frame, cell FROM cells) SELECT frame::INT AS frame, cell FROM sl ANTI JOIN (SELECT frame, cell FROM ev WHERE op IN ('added', 'changed')) x USING (frame, cell) ORDER BY 1, 2 LIMIT 50000",
     "slot_compaction": f"WITH {sql.SEQ_CELLS} SELECT frame, cell, row_number() OVER (PARTITION BY frame ORDER BY cell) - 1 AS slot FROM cells",
     "peak_by_stage": f"WITH {_FS} SELECT stage, max(proc_ms) AS peak FROM fs GROUP BY stage",
-    "step_rates": f"WITH {_FS}, n AS (SELECT *, (row_number() OVER (PARTITION BY stage ORDER BY ts, event_id) - 1) // 50 AS bucket FROM fs) SELECT stage, bucket, count(*) AS n, round(avg(event_id % 64 / 64.0::DOUBLE), 6) AS mean_loss, round(count(*) * 1000.0::DOUBLE / sum(proc_ms), 6) AS steps_per_s FROM n GROUP BY ALL",
+    "step_rates": f"WITH {_FS}, n AS (SELECT *, (row_number() OVER (PARTITION BY stage ORDER BY ts, event_id) - 1) // 50 AS bucket FROM fs) SELECT stage, bucket, count(*) AS n, {sql.d6("avg(event_id % 64 / 64.0::DOUBLE)")} AS mean_loss, {sql.d6("count(*) * 1000.0::DOUBLE / sum(proc_ms)")} AS steps_per_s FROM n GROUP BY ALL",
     "bench_averages": f"WITH {_FS} SELECT CASE WHEN grouping(stage) = 1 THEN 'total' ELSE stage END AS stage, count(DISTINCT event_id // 5) AS frames, round(sum(proc_ms) / count(DISTINCT event_id // 5), 6) AS ms_a_frame FROM fs GROUP BY ROLLUP (stage)",
     "perf_rolling_all": f"WITH {_FS} SELECT event_id, {sql.d6('avg(proc_ms) OVER w')} AS mean_ms, {sql.d6('quantile_cont(proc_ms, 0.5) OVER w')} AS p50_ms, {sql.d6('quantile_cont(proc_ms, 0.95) OVER w')} AS p95_ms FROM fs WINDOW w AS (ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)",
 }
