@@ -16,12 +16,15 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder name under ``spark.checkpoint.dir``, which all executors see.
 
     The name carries its file system, so that Spark and Python writers mean the same place.
-    Where the session names no such folder (single-machine tests), one is made and set.
+    Where the session names no such folder, a local master (as in tests) gets one that is made
+    and set; a cluster is an error, as its executors would not see each other's files.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="polargrain-")
         spark.sparkContext.setCheckpointDir(base)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
@@ -34,14 +37,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
 
 
-def release(spark: SparkSession, path: str) -> None:
-    """Delete a folder that :func:`shared_dir` named."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def release(*tables: DataFrame) -> None:
+    """Delete the files of tables that :func:`cut` wrote and nothing reads any more."""
+    for df in tables:
+        where = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def filesystem(uri: str):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polargrain.llm.common import cut
+from polargrain.llm.common import cut, release
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -30,11 +30,14 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        e = cut(small.unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), "edges")
+        held, e = e, cut(small.unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), "edges")
+        release(held)
         after = _state(e)
         if after == before:
             break
         before = after
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    tree = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    tree.cut_path = e.cut_path
+    return tree
