@@ -11,7 +11,9 @@ finds common last; the sample changes the cost, never the links. Candidates come
 
 * the Gray-order index's forest over SimHash fingerprints, and for every shingle that documents
   meet under an edge from each to a next one; confirmed edges already join most of a group;
-* all other pairs that meet, but for those that the first round has joined.
+* all other pairs that meet, but for those that the first round has joined and those whose
+  bitmaps of shingles already differ in more bits than similar sets can. A shingle that very many
+  documents meet under is cut into parts, and every two parts are compared in a group of their own.
 
 Defined results: null text counts as empty; texts without words have one empty shingle and so
 equal each other; fewer words than a shingle are one shingle; rows that repeat a doc_id stay or
@@ -30,11 +32,12 @@ from pyspark.sql import functions as F
 
 from polargrain.llm.bytework import Hasher, mix, runs
 from polargrain.llm.chunks import slices
-from polargrain.llm.common import cut
+from polargrain.llm.common import cut, release
 from polargrain.llm.components import components
 from polargrain.llm.simhash import fingerprint_documents, link_fingerprints
 
 STEP = np.uint64(0xD6E8FEB86659FD93)
+BITS = 1024
 WORD = np.ones(256, bool)
 WORD[list(b" \t\n\r\x0b\x0c")] = False
 
@@ -114,12 +117,12 @@ def prefixes(texts: DataFrame, shingle: int, sample_docs: int) -> DataFrame:
     return texts.mapInArrow(run, "h long, n int, node long, at int")
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[list[np.ndarray]]:
-    """Columns of about ``block`` rows that hold whole runs of the first column."""
+def _blocks(batches: Iterator[pa.RecordBatch], block: int, binary: str = "") -> Iterator[list[np.ndarray]]:
+    """Columns of about ``block`` rows that hold whole runs of the first column; all are longs but ``binary``."""
     held: list[list[np.ndarray]] = []
     size = 0
     for batch in batches:
-        held.append([np.asarray(c).astype(np.int64) for c in batch.columns])
+        held.append([np.array(c.to_pylist(), object) if name == binary else np.asarray(c).astype(np.int64) for name, c in zip(batch.schema.names, batch.columns, strict=True)])
         size += batch.num_rows
         if size >= block:
             rows = [np.concatenate(c) for c in zip(*held, strict=True)]
@@ -133,6 +136,11 @@ def _blocks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[list[np.n
         yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
 
+def _suffice(n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m shingles that first meet at these places can still be similar."""
+    return 9 * np.minimum(n - at, m - to) >= 4 * (n + m)
+
+
 def _met(firsts: DataFrame, block: int = 500_000) -> DataFrame:
     """(h, n, node, at, mate) of shingles that several documents meet under.
 
@@ -147,38 +155,101 @@ def _met(firsts: DataFrame, block: int = 500_000) -> DataFrame:
             h, n, node, at = h[keep], n[keep], node[keep], at[keep]
             order = np.lexsort((mix(node.view(np.uint64) * STEP + h.view(np.uint64)), h))
             h, n, node, at = h[order], n[order], node[order], at[order]
-            near = (h[1:] == h[:-1]) & (9 * np.minimum(n[1:] - at[1:], n[:-1] - at[:-1]) >= 4 * (n[1:] + n[:-1]))
+            near = (h[1:] == h[:-1]) & _suffice(n[1:], at[1:], n[:-1], at[:-1])
             mate = pa.array(np.append(node[1:], node[:1]), mask=~np.append(near, np.zeros(len(node[:1]), bool)))
             yield pa.RecordBatch.from_arrays([*map(pa.array, (h, n, node, at)), mate], ["h", "n", "node", "at", "mate"])
 
     return firsts.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, n long, node long, at long, mate long")
 
 
-def _pairs(met: DataFrame, block: int = 200_000, chunk: int = 2_000_000) -> DataFrame:
-    """(a, b) of documents of different roots that meet and whose shingles can still suffice."""
+def _mixed(rooted: DataFrame, block: int = 500_000, small: int = 64) -> DataFrame:
+    """Rows of the shingles that documents of several roots meet under.
+
+    Groups of up to ``small`` rows lose the rows that cannot be similar to any other of theirs.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _blocks(batches, block):
+            order = np.lexsort((rows[1], rows[0]))
+            h, n, node, at, root = (c[order] for c in rows)
+            begin = np.flatnonzero(np.concatenate([[True], np.diff(h) != 0]))
+            size = np.diff(np.append(begin, len(h)))
+            several = np.minimum.reduceat(root, begin) != np.maximum.reduceat(root, begin)
+            keep = np.repeat(several & (size > small), size)
+            few = np.repeat(np.where(several & (size <= small), size, 0), size)
+            place = np.arange(len(h)) - np.repeat(begin, size)
+            for k in range(1, small):
+                x = np.flatnonzero(place + k < few)
+                if not len(x):
+                    break
+                y = x + k
+                fits = (root[x] != root[y]) & _suffice(n[x], at[x], n[y], at[y])
+                keep[x[fits]] = keep[y[fits]] = True
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (h, n, node, at, root)], ["h", "n", "node", "at", "root"])
+
+    return rooted.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, n long, node long, at long, root long")
+
+
+def bitmaps(texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, bits): every distinct shingle flips one of ``BITS`` bits.
+
+    Two bitmaps differ in at most as many bits as their sets differ in shingles.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            for held in slices(rows, lambda r: len(r[1] or ""), 1_000_000):
+                hashes = shingle_hashes([t for _, t in held], shingle)
+                odd = [np.bincount((h % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1 for h in hashes]
+                packed = [np.packbits(o.astype(np.uint8)).tobytes() for o in odd]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], pa.int64()), pa.array(packed, pa.binary())], ["node", "bits"])
+
+    return texts.mapInArrow(run, "node long, bits binary")
+
+
+def _dealt(rows: DataFrame, crowd: int) -> DataFrame:
+    """Adds u, v and own: a shingle with over ``crowd`` rows is cut into parts, and each pair of parts is a group of its own."""
+    sizes = rows.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / crowd).cast("int").alias("parts"))
+    large = sizes.filter("parts > 1")
+    part = F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int")
+    cut_up = rows.join(large, "h").withColumn("own", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cut_up = cut_up.select(*rows.columns, "own", F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v"))
+    whole = rows.join(large, "h", "left_anti").select(*rows.columns, *[F.lit(0).alias(c) for c in ("own", "u", "v")])
+    return whole.unionByName(cut_up)
+
+
+def _pairs(mixed: DataFrame, block: int = 50_000, chunk: int = 1_000_000, crowd: int = 5_000) -> DataFrame:
+    """(a, b) of documents of different roots that meet, whose shingles can still suffice and whose bitmaps agree enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, n, node, at, root in _blocks(batches, block):
-            group = np.cumsum(np.concatenate([[0], np.diff(h) != 0]))
+        words = BITS // 64
+        for g, n, node, at, root, own, u, v, bits in _blocks(batches, block, "bits"):
+            group = np.cumsum(np.concatenate([[0], np.diff(g) != 0]))
             place = (group << 32) + n
             until = np.searchsorted(place, (group << 32) + 5 * n // 4, "right")
-            # rows whose group has one root only have no pairs
-            begin = np.flatnonzero(np.concatenate([[True], np.diff(group) != 0]))
-            mixed = (np.minimum.reduceat(root, begin) != np.maximum.reduceat(root, begin))[group]
-            count = np.where(mixed, until - np.arange(len(h)) - 1, 0)
+            count = until - np.arange(len(g)) - 1
             total = np.concatenate([[0], np.cumsum(count)])
+            codes = np.frombuffer(b"".join(bits), np.uint64).reshape(-1, words)
             i = 0
-            while i < len(h):
+            while i < len(g):
                 j = max(i + 1, int(np.searchsorted(total, total[i] + chunk, "right")) - 1)
                 x = np.repeat(np.arange(i, j), count[i:j])
                 y = np.arange(len(x)) - np.repeat(total[i:j] - total[i], count[i:j]) + x + 1
-                fits = (root[x] != root[y]) & (9 * np.minimum(n[x] - at[x], n[y] - at[y]) >= 4 * (n[x] + n[y]))
-                x, y = node[x[fits]], node[y[fits]]
+                fits = (root[x] != root[y]) & _suffice(n[x], at[x], n[y], at[y]) & ((u[x] == v[x]) | (own[x] != own[y]))
+                x, y = x[fits], y[fits]
+                apart = np.zeros(len(x), np.int64)
+                for k in range(words):
+                    apart += np.bitwise_count(codes[x, k] ^ codes[y, k])
+                near = 9 * apart <= n[x] + n[y]
+                x, y = node[x[near]], node[y[near]]
                 pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
                 i = j
 
-    return met.repartition("h").sortWithinPartitions("h", "n", "node").mapInArrow(run, "a long, b long").filter("a <> b").distinct()
+    keyed = _dealt(mixed, crowd).select(F.xxhash64("h", "u", "v").alias("g"), "h", "n", "node", "at", "root", "own", "u", "v", "bits")
+    ordered = keyed.repartition("h", "u", "v").sortWithinPartitions("g", "n", "node").drop("h")
+    return ordered.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
@@ -213,13 +284,17 @@ def _first_candidates(texts: DataFrame, met: DataFrame, radius: int) -> DataFram
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def representatives(docs: DataFrame, shingle: int = 5, radius: int = 2, sample_docs: int = 20_000) -> DataFrame:
+def representatives(docs: DataFrame, shingle: int = 5, radius: int = 2, sample_docs: int = 20_000, crowd: int = 5_000) -> DataFrame:
     """The rows of ``docs``, all columns, whose document is the first of its group."""
     texts = docs.select(node_of(F.col("doc_id"), F.col("text")).alias("node"), "text")
     met = cut(_met(prefixes(texts, shingle, sample_docs)), "met")
     links = cut(_confirmed(_first_candidates(texts, met, radius), texts, shingle), "links")
     tree = components(links)
     rooted = met.join(tree, "node", "left").select("h", "n", "node", "at", F.coalesce("root", "node").alias("root"))
-    more = cut(_confirmed(_pairs(rooted), texts, shingle), "links")
+    mixed = cut(_mixed(rooted), "mixed")
+    release(met, tree)
+    marked = bitmaps(texts.join(mixed.select("node").distinct(), "node", "left_semi"), shingle)
+    more = cut(_confirmed(_pairs(mixed.join(marked, "node").select(*mixed.columns, "bits"), crowd=crowd), texts, shingle), "links")
     gone = components(links.unionByName(more)).select(F.col("node").alias("__node"))
+    release(links, mixed, more)
     return docs.withColumn("__at", node_of(F.col("doc_id"), F.col("text"))).join(gone, F.col("__at") == F.col("__node"), "left_anti").drop("__at")

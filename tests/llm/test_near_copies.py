@@ -8,7 +8,7 @@ def words(t):
 
 
 def brute_heads(rows):
-    sets = [{tuple(words(t)[i : i + 5]) for i in range(max(1, len(words(t)) - 4))} for _, t in rows]
+    sets = [{tuple(words(t)[i : i + 5]) for i in range(max(1, len(words(t)) - 4))} for _, t, *_ in rows]
     root = list(range(len(rows)))
 
     def find(x):
@@ -41,8 +41,18 @@ def test_edits_not_picked_by_distance_equal_brute_force(spark, sf_dir):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = {i for i, _ in brute_heads(rows)}
     assert len(want) < len(rows) - 100
-    for sample in (20_000, 1):
-        assert sorted(r.doc_id for r in near_copies.representatives(docs, sample_docs=sample).collect()) == sorted(want)
+    for sample, crowd in ((20_000, 5_000), (1, 3)):
+        assert sorted(r.doc_id for r in near_copies.representatives(docs, sample_docs=sample, crowd=crowd).collect()) == sorted(want)
+
+
+def test_bitmaps_bound_the_difference():
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(40)}" for _ in range(rng.randrange(1, 300))) for _ in range(40)]
+    sets = [set(map(int, h)) for h in near_copies.shingle_hashes(texts)]
+    bits = [sum((1 << b) for b in range(near_copies.BITS) if sum(h % near_copies.BITS == b for h in s) % 2) for s in sets[:12]]
+    for a in range(12):
+        for b in range(a):
+            assert (bits[a] ^ bits[b]).bit_count() <= len(sets[a] ^ sets[b])
 
 
 def test_null_and_repeated_ids(spark):
