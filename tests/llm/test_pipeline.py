@@ -4,7 +4,8 @@ import corpus_pipeline
 from polargrain.llm import quality_crf
 from polargrain.llm.common import cut
 from test_decontaminate import brute as brute_items
-from test_simhash import brute_components, brute_fp
+from test_near_copies import brute_heads
+from test_simhash import brute_fp
 
 
 def lowered(t):
@@ -37,9 +38,7 @@ def test_every_stage_equals_brute_force(spark, sf_dir):
                 best[lowered(r[1])] = max(best.get(lowered(r[1]), r), r, key=lambda x: x[0])
             want = list(best.values())
         elif k == 2:
-            rows = sorted(rows)
-            root = brute_components([brute_fp(r[1]) for r in rows], 2)
-            want = [r for i, r in enumerate(rows) if root[i] == i]
+            want = brute_heads(sorted(rows, key=lambda r: r[0]))
         else:
             hit = {d for d, *_ in brute_items([(r[0], r[1]) for r in rows], items)}
             want = [r for r in rows if r[0] not in hit]
