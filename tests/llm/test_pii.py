@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from polargrain.llm import pii
 
@@ -65,3 +66,13 @@ def test_whole_small_table_and_native_plan(spark, sf_dir):
     assert "Python" not in plan and "Exchange" not in plan
     check(out.collect(), {r.doc_id: r.text for r in docs.collect()})
     assert pii.pii_digest(docs.limit(0)).collect() == []
+
+
+def test_many_matches_in_a_long_text(spark):
+    texts = [" ".join(f"a{k}@b.co" for k in range(12_000)), " ".join(["10.0.0.1 999.1.1.1"] * 6_000), "a@b.co", None]
+    docs = spark.createDataFrame([(0, texts[0]), (1, texts[1]), (2, texts[2]), (2, texts[2]), (3, None)], "doc_id long, text string")
+    began = time.time()
+    rows = pii.pii_digest(docs).collect()
+    assert time.time() - began < 30
+    assert len(rows) == 5
+    check(rows, texts)
