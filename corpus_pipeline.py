@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from polargrain.llm import decontaminate, exact_dedup, near_copies as similar_texts, piece_codec, quality_crf
-from polargrain.llm.common import cut, table
+from polargrain.llm.common import cut, release, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +56,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    docs, held = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        if held is not None:
+            release(held)
+        held = docs
     return STAGES[-1][1](spark, docs, sf_dir)
