@@ -136,3 +136,28 @@ def test_segmenters(spark):
     got = segment.BatchModelSegmenter(load, p).segment(pts)
     assert got.count() == 600 and got.filter("cls5 not between 0 and 4").count() == 0
     assert segment.BatchModelSegmenter(load, p).segment(pts.limit(0)).count() == 0
+
+
+def test_a_frame_opens_its_own_file_only(spark, tmp_path):
+    for seq, stem, data in (("00", "000000", b"\0" * 32), ("00", "000001", b"odd length"), ("01", "000000", b"odd length")):
+        kitti.put(f"file://{tmp_path}/{seq}/velodyne/{stem}.bin", data)
+    assert kitti.read_frame(spark, f"file://{tmp_path}", "00", 0).count() == 2
+    assert kitti.read_frame(spark, f"file://{tmp_path}", "00", 9).count() == 0
+    plan = kitti.read_labelled_scans(spark, f"file://{tmp_path}")._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Join") and "content" not in plan
+
+
+def test_long_series_are_numbered_without_one_task(spark):
+    from polargrain.operators import ordered
+
+    rows = spark.range(5000).selectExpr("cast(id % 3 as string) as k", "id * 7919 % 5000 as v", "id")
+    got = ordered.numbered(rows, ("k",), ["v", "id"], "rn", 16)
+    by = {}
+    for r in got.collect():
+        by.setdefault(r.k, []).append((r.rn, r.v))
+    for pairs in by.values():
+        pairs.sort()
+        assert [n for n, _ in pairs] == list(range(1, len(pairs) + 1)) and [v for _, v in pairs] == sorted(v for _, v in pairs)
+    assert ordered.sliced(rows, ("k",), "v", 16).select("slice").distinct().count() >= 12
+    none = ordered.numbered(rows.limit(0), ("k",), ["v", "id"])
+    assert none.collect() == []
