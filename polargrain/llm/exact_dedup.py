@@ -62,13 +62,22 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """The rows of ``docs``, all columns, that stay: one of every group of equal texts.
 
     Rows are joined to the decisions by digest and id together, so the copies of a hot text
-    spread over all tasks; rows that repeat the staying id and text are reduced to one.
+    spread over all tasks. Only rows whose id and text both repeat are compared once more: the
+    first of them by their JSON text stays; whole rows are shuffled for these alone.
     """
     decided = cut(decisions(normalised(docs, id_col, text_col), salts), "exact-dedup").select(F.col("digest").alias("__stay_digest"), F.col("keep_id").alias("__stay_id"))
     columns = docs.columns
     marked = docs.withColumn("__own_digest", F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256))
     stays = (marked["__own_digest"] == decided["__stay_digest"]) & marked[id_col].eqNullSafe(decided["__stay_id"])
-    return marked.join(decided, stays, "left_semi").dropDuplicates(["__own_digest", id_col]).select(*columns)
+    kept = marked.join(decided, stays, "left_semi")
+    counted = marked.groupBy(F.col("__own_digest").alias("__again_digest"), F.col(id_col).alias("__again_id")).agg(F.count(F.lit(1)).alias("n"))
+    again = cut(counted.filter("n > 1").drop("n"), "rows-repeated")
+    if again.isEmpty():
+        return kept.select(*columns)
+    same = (F.col("__own_digest") == F.col("__again_digest")) & F.col(id_col).eqNullSafe(F.col("__again_id"))
+    place = F.row_number().over(Window.partitionBy("__own_digest", id_col).orderBy(F.to_json(F.struct(*[F.col(c) for c in columns]))))
+    first = kept.join(again, same, "left_semi").withColumn("__place", place).filter("__place = 1")
+    return kept.join(again, same, "left_anti").select(*columns).unionByName(first.select(*columns))
 
 
 def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:

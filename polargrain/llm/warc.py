@@ -46,8 +46,9 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _page(page_id: int | None, copy: str = "") -> str:
-    return f"<{PAGE}{'' if page_id is None else page_id}{copy}>"
+def _page(page_id: int | None) -> str:
+    """Record ids name the page, so rows that repeat a page_id share one, and a revisit can name its response."""
+    return f"<{PAGE}{'' if page_id is None else page_id}>"
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
