@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -61,9 +62,12 @@ def _cache(tokenizer_path: str) -> ChunkCache:
 
 
 def _parts(chunk: str) -> tuple[str, ...]:
-    """Punctuation after a letter is a token group of its own, so it can be tokenised apart."""
+    """Punctuation after a letter is a token group of its own, so it can be tokenised apart.
+
+    The letter is looked for in the normalised core: lower-casing may end it with a mark.
+    """
     core = chunk.rstrip(".,!?;:")
-    return (core, chunk[len(core) :]) if len(core) < len(chunk) and core[-1:].isalpha() else (chunk,)
+    return (core, chunk[len(core) :]) if len(core) < len(chunk) and unicodedata.normalize("NFC", core[-8:]).lower()[-1:].isalpha() else (chunk,)
 
 
 def _folded(text: str) -> str:
@@ -100,20 +104,28 @@ def _dictionary(data: bytes):
     return zstandard.ZstdCompressionDict(data) if data else None
 
 
-def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, width: int, sample_docs: int, dict_bytes: int) -> bytes:
-    """A dictionary trained on the id arrays of about ``sample_docs`` documents, chosen by hash."""
+def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, width: int, sample_docs: int, dict_bytes: int, sample_bytes: int = 1 << 14) -> bytes:
+    """A dictionary trained on id arrays of about ``sample_docs`` documents, chosen by hash.
+
+    A document lends its first ``sample_bytes`` bytes of ids, and twice ``sample_docs`` documents
+    at most reach the driver, in a fixed order.
+    """
     import zstandard
 
     total = docs.count()
     share = min(1.0, sample_docs / max(1, total))
-    picked = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(share * (1 << 40)) + 1) if share < 1 else docs
+    order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    picked = docs.filter(order < int(share * (1 << 40)) + 1) if share < 1 else docs
 
     def serialise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            arrays = encode_texts(batch.column("text").to_pylist(), tokenizer_path, end_id)
-            yield pa.RecordBatch.from_pydict({"ids": pa.array([a.astype(f"<u{width}").tobytes() for a in arrays], pa.binary())})
+            for held in slices(zip(batch.column("text").to_pylist(), batch.column("at").to_pylist(), strict=True), lambda r: len(r[0] or "")):
+                arrays = encode_texts([t for t, _ in held], tokenizer_path, end_id)
+                cut_ids = [a[: sample_bytes // width].astype(f"<u{width}").tobytes() for a in arrays]
+                yield pa.RecordBatch.from_arrays([pa.array(cut_ids, pa.binary()), pa.array([k for _, k in held], pa.int64())], ["ids", "at"])
 
-    samples = [bytes(r[0]) for r in picked.select("text").mapInArrow(serialise, "ids binary").limit(2 * sample_docs).collect()]
+    listed = picked.select("text", order.alias("at")).mapInArrow(serialise, "ids binary, at long")
+    samples = [bytes(r[0]) for r in listed.orderBy("at", "ids").limit(2 * sample_docs).collect()]
     try:
         return zstandard.train_dictionary(dict_bytes, samples).as_bytes()
     except zstandard.ZstdError:  # too few samples to train on: the samples themselves are the dictionary

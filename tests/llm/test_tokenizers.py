@@ -34,6 +34,70 @@ def test_token_files_equal_the_library(spark, sf_dir):
         token_output.ShardReader(manifest.first().path, dictionary + b"x")
 
 
+def test_random_texts_equal_the_library():
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    tok, rnd = Tokenizer.from_file(path), random.Random(8)
+    odd = ["İ", "İ:", "ß.", "e\u0301", "e\u0301,", "Å", "\u0345", "ﬁ", "Σ.", "aΣ;", "½", "²", "\u037e", "ก็", "한", "\u0308", "ñ!", "Ǆ?", "½.", "\u200d", "'s"]
+    plain = list("abz AZ\n .,!?;:'1<|>_-é") + ["the ", "It's "]
+    texts = ["İ:", "xİ: İ.", "éİ;;"] + ["".join(rnd.choice(odd if rnd.random() < 0.35 else plain) for _ in range(rnd.randrange(1, 25))) for _ in range(6000)]
+    got = token_output.encode_texts(texts, path, 1)
+    for t, ids, e in zip(texts, got, tok.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert ids.tolist() == [*e.ids, 1], repr(t)
+
+
+def test_token_files_of_odd_rows(spark):
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    rows = [(5, "one two"), (None, "lost id"), (5, "other"), (5, "one two"), (9, "long words " * 60_000), (None, None), (1, "")]
+    docs = spark.createDataFrame([(i, t, "c", 0) for i, t in rows], "doc_id long, text string, ids string, start int").repartition(3)
+    manifest, dictionary = token_output.write_tokens(docs, path, shard_bytes=100)
+    got = sorted(token_output.read_tokens(spark, manifest, dictionary).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, None, 1, 5, 5, 5, 9]
+    size = {t: len(token_output.encode_texts([t], path, 1)[0]) for _, t in rows}
+    assert sorted(r.n_tokens for r in got) == sorted(size[t] for _, t in rows)
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(len(got))]
+    again = token_output.write_tokens(docs.repartition(2), path)[1]
+    assert again == dictionary
+
+
+def test_pieces_of_odd_rows(spark):
+    import sentencepiece
+
+    path = str(public_tokenizers.path("piece_bpe_32k.model"))
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    rows = [(5, "one two"), (5, "one two"), (None, None), (7, "long words " * 60_000)]
+    docs = spark.createDataFrame([(i, t, 0, 0) for i, t in rows], "doc_id long, text string, ids int, n_tokens int")
+    got = sorted(map(tuple, piece_codec.digest_documents(docs, path).select("doc_id", "n_tokens").collect()), key=repr)
+    assert got == sorted([(i, len(sp.encode(t or "", add_bos=True, add_eos=True))) for i, t in rows], key=repr)
+    assert piece_codec.digest_documents(docs.limit(0), path).collect() == []
+
+
+def test_trained_character_maps_equal_the_library(tmp_path):
+    import io
+    import random
+
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    rnd = random.Random(4)
+    odd = list("ＡｂＣ①½ﬁﬂ㎏Ⅷ　 \u00a0\u200b\u0301\u3099ﾊﾟが각ÅΩΣßİ") + ["e\u0301", "ｶﾞ", "  "]
+    texts = ["".join(rnd.choice(odd if rnd.random() < 0.5 else list("abc Xyz.")) for _ in range(rnd.randrange(0, 30))) for _ in range(1500)]
+    base = pb.ModelProto()
+    with open(str(public_tokenizers.path("piece_bpe_32k.model")), "rb") as f:
+        base.ParseFromString(f.read())
+    for rule in ("nmt_nfkc", "nfkc", "nmt_nfkc_cf"):
+        library = sentencepiece.SentencePieceNormalizer(rule_name=rule, add_dummy_prefix=True, remove_extra_whitespaces=True, escape_whitespaces=True)
+        spec = pb.ModelProto()
+        spec.ParseFromString(library.serialized_model_proto())
+        own = piece_codec.Normalizer(spec.normalizer_spec.precompiled_charsmap, True, True, True)
+        for t in texts:
+            out, align = own(t)
+            assert out.decode() == library.normalize(t), (rule, t)
+            assert len(align) == len(out) + 1 and (np.diff(np.asarray(align)) >= 0).all()
+
 def test_token_files_of_an_empty_table(spark):
     manifest, dictionary = token_output.write_tokens(_docs(spark, []), str(public_tokenizers.path("word_bpe_49k.json")))
     assert token_output.read_tokens(spark, manifest, dictionary).collect() == []
