@@ -2,26 +2,26 @@
 
 A byte goes if some string of ``window`` bytes that covers it also starts anywhere else. Two
 equal windows hold the same sequence of inner strings, so both choose the same anchor: the
-leftmost of their ``token``-byte strings with the least hash. Only anchors, one for about every
-seventy positions, stand for the suffixes that start in the windows they own:
-
-1. Every task stores its texts as part files in the shared folder and lists the anchors: the
-   hash of the anchor's leading token, and a digest of its context (the bytes of all windows
-   that it owns).
-2. Anchors whose token occurs once own no repeated window. If all contexts of a token agree,
-   all their windows are repeated; the same holds for each context that occurs twice. Counts
-   combine before they are shuffled, so a passage in a third of all documents is no hot key.
-3. Tokens with different contexts need their suffixes: one context of each kind is read from
-   the part files and range-partitioned by its leading bytes with sampled splitters. Buckets
-   sort the windows of each token by multikey quicksort (characters of eight bytes, all open
-   ranges advance together) down to ``window`` bytes; ranges left with several windows are
-   repeats. Equal leading tokens share a bucket, so no repeat crosses a bucket's border; the
-   tokens with over ``hot`` contexts are dealt by whole windows instead, counted with map-side
-   combining and compared across all tasks.
+leftmost of their ``token``-byte strings with the least hash. Only the suffixes that start at
+anchors are sorted, one for about every seventy positions; an anchor stands for the windows
+that it owns, and its context is the bytes of all of them.
+
+1. Every task stores its texts as part files in the shared folder and lists the anchors.
+   Anchors whose leading token occurs once (by its hash, so none is lost) own no repeated window.
+2. The suffixes of all other anchors are range-partitioned by sampled splitters, in the order of
+   their leading bytes, a hash of the rest, and place, so that equal ones also spread over buckets.
+   A bucket sorts its contexts by multikey quicksort (characters of eight bytes; all open ranges
+   are split around their pivots together). Neighbours that are equal in every byte are repeats,
+   with all their windows. Where a token has several contexts, the windows of those that
+   occur once are sorted likewise, against one context of each kind.
+3. A token at a bucket's border may go on in the next: its kinds of contexts are compared across
+   all buckets, and then its windows. Tokens with over ``hot`` kinds have their windows
+   range-partitioned and sorted as suffixes of their own, by the same code.
 4. Removed ranges go back to the part files by part number, where texts are cut.
 
-Texts are never shuffled. Part files are bounded (``part_bytes``, or one text), and long
-texts are hashed in pieces that overlap by a window.
+Texts are never shuffled, only contexts. Part files are bounded (``part_bytes``, or one text),
+buckets too (``bucket_bytes`` on average; the windows of ``hot`` kinds of contexts are sorted in
+about 200 MB), and long texts are hashed in pieces that overlap by a window.
 
 Defined results: null text counts as empty; texts shorter than a window keep all; repeats are
 judged on the input; repeated rows are texts of their own and remove one another; other
@@ -41,11 +41,12 @@ from pyspark.sql import functions as F
 
 from polargrain.llm.bytework import Hasher, mix, runs
 from polargrain.llm.chunks import slices
-from polargrain.llm.common import cut, filesystem, shared_dir, table
+from polargrain.llm.common import cut, filesystem, release, shared_dir, table
 
 POSITION_BITS = 24
-ANCHOR = "part long, row int, lo int, n int, skip int, token long, context long"
-CONTEXT = "token long, lead binary, part long, row int, lo int, single boolean, bytes binary"
+ANCHOR = "part long, row int, lo int, n int, skip int, token long"
+CONTEXT = "part long, row int, lo int, n int, copies int, key binary"
+FOUND = "part long, row int, lo int, n int, copies int, edge boolean, key binary"
 RANGE = "part long, row int, lo int, hi int"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
@@ -62,7 +63,7 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(pieces: list[tuple[int, int, bytes]], window: int, token: int) -> list[tuple]:
-    """Columns row, lo, n, skip (from lo to the anchor), token, context of all anchors of ``pieces`` (row, offset, bytes)."""
+    """Columns row, lo, n, skip (from lo to the anchor), token of all anchors of ``pieces`` (row, offset, bytes)."""
     lengths = np.array([len(b) for _, _, b in pieces], np.int64)
     data = b"".join(b for _, _, b in pieces)
     if len(data) < window:
@@ -86,12 +87,10 @@ def anchors(pieces: list[tuple[int, int, bytes]], window: int, token: int) -> li
     at = np.flatnonzero(new)
     first, count = starts[at], np.diff(np.append(at, len(starts)))
     tokens = h[best[at]].view(np.int64)
-    digest = hashlib.blake2b
-    contexts = np.frombuffer(b"".join([digest(data[a:b], digest_size=8).digest() for a, b in zip(first.tolist(), (first + count - 1 + window).tolist(), strict=True)]), "<i8")
     piece = piece[first]
     rows = np.array([r for r, _, _ in pieces], np.int32)[piece]
     local = np.array([o for _, o, _ in pieces], np.int64)[piece] + first - (ends - lengths)[piece]
-    return [rows, local.astype(np.int32), count.astype(np.int32), (best[at] - first).astype(np.int32), tokens, contexts]
+    return [rows, local.astype(np.int32), count.astype(np.int32), (best[at] - first).astype(np.int32), tokens]
 
 
 def _pieces(rows: list[bytes], window: int, most: int = 1 << 20) -> Iterator[tuple[int, int, bytes]]:
@@ -135,11 +134,11 @@ class Part:
 def store(docs: DataFrame, folder: str, window: int, token: int, part_bytes: int, batch_bytes: int) -> DataFrame:
     """Write part files and list their anchors; every part also has one row with row = -1."""
     names = [c.split()[0] for c in ANCHOR.split(", ")]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
 
     def finish(rows: list[tuple[int | None, bytes]]) -> Iterator[pa.RecordBatch]:
         part = Part.write(folder, rows, batch_bytes)
-        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((part, -1, 0, 0, 0, None, None), kinds, strict=True)], names)
+        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((part, -1, 0, 0, 0, None), kinds, strict=True)], names)
         for held in slices(_pieces([t for _, t in rows], window), lambda p: len(p[2]), 1 << 20, 1 << 20):
             columns = anchors(held, window, token)
             if columns:
@@ -161,30 +160,60 @@ def store(docs: DataFrame, folder: str, window: int, token: int, part_bytes: int
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, ANCHOR)
 
 
+def multikey(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Order of strings (group by group) and the class of equal strings at each place of it.
+
+    Multikey quicksort: every open range is split into less, equal and greater around the
+    median of three of its eight-byte characters; the equal part goes on with the next
+    character. The splits of all open ranges are made together. Strings of a group that agree
+    in 56 bytes must have one length.
+    """
+    n = len(starts)
+    order, new = np.arange(n) if group is None else np.argsort(group, kind="stable"), np.zeros(n, bool)
+    if not n:
+        return order, np.zeros(0, np.int64)
+    new[0] = True
+    if group is not None:
+        new[1:] = np.diff(group[order]) != 0
+    eights = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(64, np.uint8)]), 8)
+    begin = np.flatnonzero(new)
+    size, depth = np.diff(np.append(begin, n)), np.zeros(len(begin), np.int64)
+    while True:
+        live = (size > 1) & (depth < lengths[order[begin]])
+        begin, size, depth = begin[live], size[live], depth[live]
+        if not len(begin):
+            return order, np.cumsum(new) - 1
+        head = np.cumsum(size) - size
+        span = np.repeat(np.arange(len(begin)), size)
+        place = np.repeat(begin - head, size) + np.arange(len(span))
+        item = order[place]
+        left = lengths[item] - depth[span]
+        key = eights[starts[item] + np.where(left > 0, depth[span], 0)].view(">u8").ravel().astype(np.uint64)
+        short = np.flatnonzero(left < 8)
+        if len(short):
+            low = (8 * np.clip(8 - left[short], 0, 7)).astype(np.uint64)
+            key[short] = np.where(left[short] > 0, key[short] >> low << low, 0)
+        a, b, c = key[head], key[head + size // 2], key[head + size - 1]
+        pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))[span]
+        side = (key >= pivot).astype(np.int8) + (key > pivot)
+        counts = np.bincount(3 * span + side, minlength=3 * len(begin))
+        base = np.cumsum(counts) - counts
+        for k in range(3):
+            own, each = np.flatnonzero(side == k), counts[k::3]
+            to = np.repeat(base[k::3] - (np.cumsum(each) - each), each) + np.arange(len(own))
+            order[place[to]] = item[own]
+        some = counts > 0
+        begin = (np.repeat(begin - head, 3) + base)[some]
+        depth = (np.repeat(depth, 3) + np.tile([0, 8, 0], len(depth)))[some]
+        size = counts[some]
+        new[begin] = True
+
+
 def repeated_windows(data: np.ndarray, starts: np.ndarray, group: np.ndarray, window: int) -> np.ndarray:
-    """Which windows equal another one of their group: multikey quicksort over eight-byte characters."""
-    data = np.concatenate([data, np.zeros(8, np.uint8)])
-    eights = np.lib.stride_tricks.sliding_window_view(data, 8)
-    open_, cls = np.arange(len(starts)), group
-    for at in range(0, window, 8):
-        order = np.argsort(cls, kind="stable")
-        open_, cls = open_[order], cls[order]
-        change = np.concatenate([[True], cls[1:] != cls[:-1]]) if len(cls) else np.zeros(0, bool)
-        number = np.cumsum(change) - 1
-        several = np.bincount(number, minlength=1)[number] > 1 if len(cls) else change
-        open_, number = open_[several], number[several]
-        if not len(open_):
-            break
-        key = eights[starts[open_] + at].view(">u8").ravel().astype(np.uint64)
-        if window - at < 8:
-            key >>= np.uint64(8 * (8 - (window - at)))
-        order = np.lexsort((key, number))
-        open_, number, key = open_[order], number[order], key[order]
-        cls = np.cumsum(np.concatenate([[True], (number[1:] != number[:-1]) | (key[1:] != key[:-1])]))
+    """Which windows equal another one of their group."""
+    order, cls = multikey(data, starts, np.full(len(starts), window), group)
     out = np.zeros(len(starts), bool)
-    if len(open_):
-        _, inverse, counts = np.unique(cls, return_inverse=True, return_counts=True)
-        out[open_] = counts[inverse] > 1
+    out[order] = np.bincount(cls, minlength=1)[cls] > 1 if len(cls) else False
     return out
 
 
@@ -207,80 +236,193 @@ def _aligned(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Itera
         yield pa.Table.from_batches(held)
 
 
-def contexts(picked: DataFrame, folder: str, window: int) -> DataFrame:
-    """The bytes of the picked anchors' windows, read from the part files."""
+def contexts(picked: DataFrame, folder: str, window: int, token: int) -> DataFrame:
+    """The contexts of anchors, read from the part files.
+
+    The key starts with the leading token, then come four bytes of skip and n, the rest to the
+    right and what lies to the left: contexts are equal if and only if their keys are.
+    """
     names = [c.split()[0] for c in CONTEXT.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_part, number = None, None
         for batch in batches:
-            rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("part", "row", "lo", "n", "skip")}
-            found, leads = [], []
-            for part, row, lo, n, skip in zip(*(v.tolist() for v in rows.values()), strict=True):
+            rows = [batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("part", "row", "lo", "n", "skip")]
+            keys = []
+            for part, row, lo, n, skip in zip(*rows, strict=True):
                 if part != number:
                     open_part, number = Part(folder, part), part
-                found.append(bytes(open_part.text(row)[lo : lo + n - 1 + window]))
-                leads.append(found[-1][skip : skip + 8])
-            columns = [batch.column("token"), pa.array(leads, pa.binary()), batch.column("part"), batch.column("row"), batch.column("lo"), batch.column("single"), pa.array(found, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names)
+                text, at, hi = open_part.text(row), lo + skip, lo + n - 1 + window
+                keys.append(b"".join((text[at : at + token], (skip << 16 | n).to_bytes(4, "big"), text[at + token : hi], text[lo:at])))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("part", "row", "lo", "n")], pa.array(np.ones(len(keys), np.int32)), pa.array(keys, pa.binary())], names)
 
     ordered = picked.repartition("part").sortWithinPartitions("part", "row")
     return ordered.mapInArrow(run, CONTEXT)
 
 
-def sorted_repeats(found: DataFrame, window: int) -> DataFrame:
-    """Repeated windows of single contexts, by range partitions and local sorts."""
+def _columns(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """Bytes of all keys, their starts and lengths, and the other columns."""
+    key = pa.concat_arrays([c.cast(pa.large_binary()) for c in rows.column("key").chunks])
+    offsets = np.frombuffer(key.buffers()[1], np.int64)[key.offset : key.offset + len(key) + 1]
+    data = np.frombuffer(key.buffers()[2] or b"", np.uint8)
+    return data, offsets[:-1], np.diff(offsets), {c: rows.column(c).to_numpy() for c in ("part", "row", "lo", "n", "copies")}
+
+
+def _ranges(rows: dict[str, np.ndarray], of: np.ndarray, inner: np.ndarray, windows: np.ndarray) -> dict[str, np.ndarray]:
+    """Runs of repeated windows as part, row, lo and number of windows; ``of`` is the row of each window, ``inner`` its number there."""
+    first = np.flatnonzero(windows & ~(np.concatenate([[False], windows[:-1] & (of[1:] == of[:-1])])))
+    last = np.flatnonzero(windows & ~(np.concatenate([windows[1:] & (of[1:] == of[:-1]), [False]])))
+    at = of[first]
+    return {"part": rows["part"][at], "row": rows["row"][at], "lo": rows["lo"][at] + inner[first], "n": inner[last] - inner[first] + 1}
+
+
+def window_repeats(data: np.ndarray, starts: np.ndarray, rows: dict[str, np.ndarray], group: np.ndarray, window: int, token: int, most: int = 300_000) -> Iterator[dict[str, np.ndarray]]:
+    """Repeated windows of contexts with ``copies`` 1, among the contexts of their (ascending) group."""
+    borders = np.flatnonzero(np.concatenate([[True], np.diff(group) != 0, [True]])) if len(group) else np.zeros(1, np.int64)
+    total = np.concatenate([[0], np.cumsum(rows["n"])])
+    i = 0
+    while i + 1 < len(borders):
+        j = max(i + 1, int(np.searchsorted(total[borders], total[borders[i]] + most, "right")) - 1)
+        own = slice(borders[i], borders[j])
+        part = {k: v[own] for k, v in rows.items()}
+        texts, counts = [], part["n"].astype(np.int64)
+        skips = np.zeros(len(counts), np.int64)
+        for k, (s, n) in enumerate(zip(starts[own].tolist(), counts.tolist(), strict=True)):
+            skip = int(data[s + token]) << 8 | int(data[s + token + 1])
+            end = s + 4 + n - 1 + window
+            texts += [data[end - skip : end], data[s : s + token], data[s + token + 4 : end - skip]]
+            skips[k] = skip
+        sizes = counts - 1 + window
+        of = np.repeat(np.arange(len(counts)), counts)
+        inner = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+        at = (np.cumsum(sizes) - sizes)[of] + inner
+        # equal windows lie equally far from their anchors
+        place = (group[own][of] << 16) + inner - skips[of] + (1 << 15)
+        hit = repeated_windows(np.concatenate(texts), at, place, window) & (part["copies"][of] == 1)
+        yield _ranges(part, of, inner, hit)
+        i = j
+
+
+def equal_runs(rows: DataFrame, buckets: int, window: int, token: int, hot: int) -> DataFrame:
+    """Repeats among ``CONTEXT`` rows, by range partitions and local sorts.
+
+    Buckets follow the first bytes of the leading token, a hash of the rest, and the place. Rows
+    without a key are repeated runs of windows. Rows with a key are contexts of which the bucket
+    cannot tell: one of each kind, with its number of copies, that starts like the bucket's first
+    or last (``edge``) or has a token with over ``hot`` kinds. Where ``token`` is 0, keys are
+    single windows, and only those at the borders are left open.
+    """
+    lead = min(16, token or window)
+    names = [c.split()[0] for c in FOUND.split(", ")]
+
+    def out(part: dict[str, np.ndarray], copies: np.ndarray, edge: np.ndarray, keys: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(part["part"], pa.int64()), *[pa.array(part[c].astype(np.int32)) for c in ("row", "lo", "n")], pa.array(copies.astype(np.int32)), pa.array(edge), keys], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _aligned(batches, "token", 2 << 20):
-            texts = rows.column("bytes").to_pylist()
-            lengths = np.array([len(t) for t in texts], np.int64)
-            counts = lengths - window + 1
-            token = rows.column("token").to_numpy()
-            group = np.cumsum(np.concatenate([[True], token[1:] != token[:-1]]))
-            begins = np.cumsum(lengths) - lengths
-            row_of = np.repeat(np.arange(len(texts)), counts)
-            inner = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            repeated = repeated_windows(np.frombuffer(b"".join(texts), np.uint8), begins[row_of] + inner, group[row_of], window)
-            single = rows.column("single").to_numpy(zero_copy_only=False)
-            repeated &= single[row_of]
-            first = np.flatnonzero(repeated & ~(np.concatenate([[False], repeated[:-1]]) & (inner > 0)))
-            last = np.flatnonzero(repeated & ~(np.concatenate([repeated[1:], [False]]) & (inner < counts[row_of] - 1)))
-            at = row_of[first]
-            lo = rows.column("lo").to_numpy()[at]
-            yield pa.RecordBatch.from_arrays([pa.array(rows.column("part").to_numpy()[at]), pa.array(rows.column("row").to_numpy()[at]), pa.array((lo + inner[first]).astype(np.int32)), pa.array((lo + inner[last] + window).astype(np.int32))], ["part", "row", "lo", "hi"])
-
-    return found.repartitionByRange("lead", "token").sortWithinPartitions("lead", "token").mapInArrow(run, RANGE)
-
-
-def counted_repeats(found: DataFrame, window: int) -> DataFrame:
-    """The same for tokens with very many contexts: whole windows, counted across all tasks."""
-    at = F.sequence(F.lit(0), F.octet_length("bytes") - window)
-    each = found.select("part", "row", "lo", "single", "bytes", F.explode(at).alias("i")).select("part", "row", "single", (F.col("lo") + F.col("i")).alias("lo"), F.substring("bytes", F.col("i") + 1, F.lit(window)).alias("w"))
-    several = each.groupBy("w").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("w")
-    return each.filter("single").join(several, "w").select("part", "row", "lo", (F.col("lo") + window).alias("hi"))
-
-
-def removed_ranges(listed: DataFrame, folder: str, window: int, hot: int) -> DataFrame:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        data, starts, lengths, cols = _columns(pa.Table.from_batches(held))
+        held.clear()
+        order, cls = multikey(data, starts, lengths)
+        starts, lengths, cols = starts[order], lengths[order], {k: v[order] for k, v in cols.items()}
+        copies = np.bincount(cls, cols["copies"]).astype(np.int64)
+        sure = (copies[cls] > 1) & (cols["copies"] == 1)
+        none = lambda n: pa.nulls(n, pa.binary())
+        yes = {k: v[sure] for k, v in cols.items()}
+        yield out(yes, np.zeros(len(yes["n"])), np.zeros(len(yes["n"]), bool), none(len(yes["n"])))
+        first = np.flatnonzero(np.concatenate([[True], np.diff(cls) != 0]))  # one row a kind
+        kinds, at = {k: v[first] for k, v in cols.items()}, starts[first]
+        kinds["copies"] = copies
+        heads = np.lib.stride_tricks.sliding_window_view(data, lead)[at]
+        edge = (heads == heads[0]).all(1) | (heads == heads[-1]).all(1)
+        open_ = edge.copy()
+        if token:
+            wide = np.lib.stride_tricks.sliding_window_view(data, token)
+            change = np.concatenate([[True], (wide[at[1:]] != wide[at[:-1]]).any(1)])
+            group = np.cumsum(change) - 1
+            size, once = np.bincount(group), np.bincount(group, copies == 1)
+            open_ |= size[group] > hot
+            inside = ~open_ & (size[group] > 1) & (once[group] > 0)
+            for found in window_repeats(data, at[inside], {k: v[inside] for k, v in kinds.items()}, group[inside], window, token):
+                n = len(found["n"])
+                yield out(found, np.zeros(n), np.zeros(n, bool), none(n))
+        for k in range(0, len(first), 20_000):
+            pick = k + np.flatnonzero(open_[k : k + 20_000])
+            keys = [data[s : s + n].tobytes() for s, n in zip(at[pick].tolist(), lengths[first][pick].tolist(), strict=True)]
+            yield out({c: v[pick] for c, v in kinds.items()}, copies[pick], edge[pick], pa.array(keys, pa.binary()))
+
+    # the sample that Spark takes for splitters is of short leads and hashes, not of whole keys
+    dealt = rows.withColumn("lead", F.substring("key", 1, lead)).withColumn("rest", F.xxhash64("key"))
+    return dealt.repartitionByRange(buckets, "lead", "rest", "part", "row", "lo").select(*rows.columns).mapInArrow(run, FOUND)
+
+
+def _spans(found: DataFrame, window: int) -> DataFrame:
+    return found.select("part", "row", "lo", (F.col("lo") + F.col("n") - 1 + window).alias("hi"))
+
+
+def _across(found: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """Ranges of kinds that only several buckets together repeat, and the open kinds of all buckets."""
+    kinds = found.filter("key is not null")
+    border = kinds.filter("edge")
+    total = border.groupBy("key").agg(F.sum("copies").cast("int").alias("copies"), F.min(F.struct("part", "row", "lo", "n")).alias("one"))
+    late = border.filter("copies = 1").join(total.filter("copies > 1").select("key"), "key", "left_semi")
+    whole = total.select("one.*", "copies", "key").unionByName(kinds.filter("not edge").drop("edge"))
+    return _spans(late, window), whole
+
+
+def removed_ranges(listed: DataFrame, folder: str, window: int, token: int, hot: int, bucket_bytes: int) -> DataFrame:
     """Byte ranges to remove, of all parts."""
     listed = listed.filter("row >= 0")
-    tokens = listed.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("context").alias("c1"), F.max("context").alias("c2")).filter("k > 1")
     # a written table on either side: adaptive execution can then split the rows of a hot token
-    mixed = cut(tokens.select("token", (F.col("c1") != F.col("c2")).alias("mixed")), "tokens-shared")
-    shared = cut(listed.join(mixed, "token"), "anchors-shared")
-    whole = ("part", "row", "lo", (F.col("lo") + F.col("n") - 1 + window).alias("hi"))
-    out = shared.filter("not mixed").select(*whole)
-    mixed = shared.filter("mixed")
-    one = F.min(F.struct("part", "row", "lo", "n", "skip")).alias("one")
-    kinds = cut(mixed.groupBy("token", "context").agg(F.count(F.lit(1)).alias("k"), one), "context-kinds")
-    out = out.unionByName(mixed.join(kinds.filter("k > 1").select("token", "context"), ["token", "context"]).select(*whole))
-    picked = kinds.select("token", "one.*", (F.col("k") == 1).alias("single"))
-    found = cut(contexts(picked, folder, window), "contexts")
-    many = kinds.groupBy("token").count().filter(F.col("count") > hot).select("token")
-    if many.isEmpty():
-        return out.unionByName(sorted_repeats(found, window))
-    few = found.join(many, "token", "left_anti").select(found.columns)
-    return out.unionByName(sorted_repeats(few, window)).unionByName(counted_repeats(found.join(many, "token"), window))
+    tokens = cut(listed.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("token"), "tokens-shared")
+    shared = cut(listed.join(tokens, "token").drop("token"), "anchors-shared")
+    buckets = lambda size: max(1, -(-int(size or 0) // bucket_bytes))
+    total = shared.agg(F.sum(F.col("n") + window + 40)).first()[0]
+    found = cut(equal_runs(contexts(shared, folder, window, token), buckets(total), window, token, hot), "sorted")
+    release(tokens, shared)
+    late, kinds = _across(found, window)
+    out = _spans(found.filter("key is null"), window).unionByName(late)
+
+    # tokens at borders, and hot ones
+    lead = F.substring("key", 1, token)
+    several = kinds.groupBy(lead.alias("lead")).agg(F.count(F.lit(1)).alias("k"), F.min("copies").alias("least"), F.sum("n").alias("windows")).filter("k > 1 and least = 1")
+    several = cut(several, "open-tokens")
+    opened = kinds.withColumn("lead", lead).join(several, "lead")
+    few, many = opened.filter(F.col("k") <= hot), several.filter(F.col("k") > hot)
+    out = out.unionByName(sorted_windows(few, window, token))
+    size = many.agg(F.sum(F.col("windows") * (window + 40))).first()[0]
+    if size:
+        again = cut(equal_runs(single_windows(opened.filter(F.col("k") > hot), window, token), buckets(size), window, 0, hot), "sorted-windows")
+        out = out.unionByName(_spans(again.filter("key is null"), window)).unionByName(_across(again, window)[0])
+    return out
+
+
+def sorted_windows(opened: DataFrame, window: int, token: int) -> DataFrame:
+    """Repeated windows of tokens whose kinds have come together from several buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _aligned(batches, "lead", 2 << 20):
+            lead = rows.column("lead").to_pylist()
+            group = np.cumsum([0, *[a != b for a, b in zip(lead[1:], lead[:-1], strict=True)]])
+            data, starts, _, cols = _columns(rows)
+            for found in window_repeats(data, starts, cols, group, window, token):
+                lo = found["lo"].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(found["part"], pa.int64()), pa.array(found["row"], pa.int32()), pa.array(lo), pa.array((lo + found["n"] - 1 + window).astype(np.int32))], ["part", "row", "lo", "hi"])
+
+    slim = opened.select("lead", "part", "row", "lo", "n", "copies", "key")
+    return slim.repartitionByRange("lead").sortWithinPartitions("lead").mapInArrow(run, RANGE)
+
+
+def single_windows(opened: DataFrame, window: int, token: int) -> DataFrame:
+    """Every window of some contexts as a row of its own."""
+    skip = F.conv(F.hex(F.substring("key", token + 1, 2)), 16, 10).cast("int")
+    size = F.col("n") - 1 + window
+    right = F.substring(F.col("key"), F.lit(token + 5), size - F.col("skip") - token)
+    left = F.substring(F.col("key"), size - F.col("skip") + 5, F.col("skip"))
+    text = opened.withColumn("skip", skip).withColumn("text", F.concat(left, F.substring("key", 1, token), right))
+    each = text.select("part", "row", "lo", "n", "copies", "text", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    return each.select("part", "row", (F.col("lo") + F.col("i")).alias("lo"), F.lit(1).alias("n"), F.least(F.col("copies"), F.lit(2)).alias("copies"), F.substring(F.col("text"), F.col("i") + 1, F.lit(window)).alias("key"))
 
 
 def cut_texts(ranges: DataFrame, listed: DataFrame, folder: str, keep_text: bool) -> DataFrame:
@@ -328,11 +470,11 @@ def cut_texts(ranges: DataFrame, listed: DataFrame, folder: str, keep_text: bool
     return ranges.unionByName(parts).repartition("part").sortWithinPartitions("part").mapInArrow(run, RESULT)
 
 
-def remove_repeats(docs: DataFrame, window: int = 200, token: int = 50, part_bytes: int = 32 << 20, batch_bytes: int = 4 << 20, hot: int = 50_000, keep_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 200, token: int = 50, part_bytes: int = 32 << 20, batch_bytes: int = 4 << 20, hot: int = 20_000, bucket_bytes: int = 16 << 20, keep_text: bool = True) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if wanted, the bytes kept."""
     folder = shared_dir(docs.sparkSession, "parts")
     listed = cut(store(docs, folder, window, token, part_bytes, batch_bytes), "anchors")
-    return cut_texts(removed_ranges(listed, folder, window, hot), listed, folder, keep_text)
+    return cut_texts(removed_ranges(listed, folder, window, token, hot, bucket_bytes), listed, folder, keep_text)
 
 
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:

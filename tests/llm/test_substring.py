@@ -35,8 +35,8 @@ def run(spark, texts, **options):
     return [tuple(r)[1:5] for r in sorted(rows, key=lambda r: r.doc_id)]
 
 
-@pytest.mark.parametrize("hot", [50_000, 1])
-def test_small_windows_equal_brute_force(spark, hot):
+@pytest.mark.parametrize("hot, bucket", [(20_000, 16 << 20), (1, 16 << 20), (20_000, 900), (2, 900), (20_000, 250)])
+def test_small_windows_equal_brute_force(spark, hot, bucket):
     rnd = random.Random(5)
     texts = [None, "", "short", "ab" * 60, "x" * 100, "é" * 40]
     base = ["".join(rnd.choice("abcd") for _ in range(120)) for _ in range(12)]
@@ -45,7 +45,7 @@ def test_small_windows_equal_brute_force(spark, hot):
         i, j = rnd.randrange(100), rnd.randrange(100)
         texts.append(a[i : i + rnd.randrange(60)] + "".join(rnd.choice("efgh") for _ in range(rnd.randrange(30))) + b[j : j + rnd.randrange(80)])
     texts += texts[10:14]
-    assert run(spark, texts, window=21, token=7, part_bytes=500, batch_bytes=150, hot=hot) == brute(texts, 21)
+    assert run(spark, texts, window=21, token=7, part_bytes=500, batch_bytes=150, hot=hot, bucket_bytes=bucket) == brute(texts, 21)
 
 
 def test_whole_small_table(spark, sf_dir):
@@ -71,15 +71,28 @@ def test_long_texts_are_hashed_in_pieces():
     got = {}
     for p in pieces:
         columns = sd.anchors([p], 50, 10)
-        for row, lo, n, _, token, _ in zip(*columns):
+        for row, lo, n, _, token in zip(*columns):
             got.update({(row, lo + k): token for k in range(n)})
     whole = {}
-    for row, lo, n, _, token, _ in zip(*sd.anchors([(0, 0, text)], 50, 10)):
+    for row, lo, n, _, token in zip(*sd.anchors([(0, 0, text)], 50, 10)):
         whole.update({(row, lo + k): token for k in range(n)})
     assert got == whole and len(whole) == 4951
 
 
-def test_multikey_sort():
+def test_multikey_order():
+    rnd = random.Random(7)
+    for alphabet in (b"ab", bytes(range(256))):
+        texts = [b"".join([bytes(rnd.choice(alphabet) for _ in range(8)), bytes([n]), bytes(rnd.choice(alphabet[:2]) for _ in range(n))]) for n in [0, *(rnd.randrange(30) for _ in range(400))]]
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        lengths = np.array([len(t) for t in texts])
+        order, cls = sd.multikey(data, np.cumsum(lengths) - lengths, lengths)
+        got = [texts[k] for k in order]
+        assert got == sorted(texts)
+        assert [a == b for a, b in zip(got, got[1:])] == list(np.diff(cls) == 0)
+    assert len(sd.multikey(data, np.zeros(0, int), np.zeros(0, int))[0]) == 0
+
+
+def test_multikey_windows():
     rng = np.random.default_rng(1)
     data = rng.integers(0, 2, 400).astype(np.uint8)
     starts, group = rng.integers(0, 380, 300), rng.integers(0, 3, 300)
@@ -87,3 +100,10 @@ def test_multikey_sort():
     key = [(g, data[s : s + 11].tobytes()) for s, g in zip(starts, group)]
     seen = Counter(key)
     assert list(got) == [seen[k] > 1 for k in key]
+
+
+def test_null_and_repeated_ids(spark):
+    text = "".join(random.Random(8).choice("abcdef ") for _ in range(300))
+    docs = spark.createDataFrame([(None, text, 0), (4, text, 0), (4, text, 0), (4, "short", 0), (None, None, 0)], "doc_id long, text string, n int")
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans) for r in sd.remove_repeats(docs, bucket_bytes=700).collect())
+    assert got == [(0, 0, 0, 0), (0, 300, 300, 1), (4, 5, 0, 0), (4, 300, 300, 1), (4, 300, 300, 1)]
