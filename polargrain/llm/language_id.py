@@ -8,7 +8,8 @@ most bytes in its spans is the text's, and its share of the labelled bytes the s
 
 Training counts n-grams of whole texts of at most about ``sample_docs`` documents, chosen by
 the hash of doc_id among those with a language outside the held-out fold (crc32 of the id as
-text, modulo 4, equal to 2). Prediction sees the text alone.
+text, modulo 4, equal to 2). Prediction sees the text alone. The table takes 1 MB a language
+on the driver and in every worker, so the number of different values of ``lang`` bounds it.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; words in a
 script that no training word used may be any language; ties go to the first language in
@@ -18,9 +19,8 @@ predicted; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -32,7 +32,6 @@ from polargrain.llm.bytework import Padded, held_out, runs
 from polargrain.llm.chunks import slices
 from polargrain.llm.common import table
 
-LETTER = re.compile(r"[^\W\d_]")
 N = 4
 BUCKETS = 1 << 16
 # first code points of script blocks, in order; words of one range share a script
@@ -41,6 +40,11 @@ WORD = np.zeros(256, bool)
 WORD[list(range(97, 123)) + list(range(65, 91)) + list(range(128, 256))] = True
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter (Unicode category L); numbers such as a half are none."""
+    return any(map(str.isalpha, text))
+
+
 def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bytes with A-Z lowered and every non-letter a space; word starts, ends, and words per text."""
     blobs = [t.encode() for t in texts]
@@ -87,14 +91,27 @@ class Model:
     table: np.ndarray  # (N * BUCKETS, languages) log-probabilities
     allowed: np.ndarray  # (scripts, languages)
     penalty: float = 8.0
+    narrowed: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
+
+    def candidates(self, script: int) -> tuple[np.ndarray, np.ndarray]:
+        """Languages of a script, and their columns of the table."""
+        if script not in self.narrowed:
+            langs = np.flatnonzero(self.allowed[script])
+            self.narrowed[script] = langs, self.table if len(langs) == len(self.langs) else np.ascontiguousarray(self.table[:, langs])
+        return self.narrowed[script]
 
     def emissions(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        at, begins, _ = gram_starts(starts, ends)
-        total = np.zeros((len(at), len(self.langs)), np.float32)
-        for rows in grams(data):
-            total += self.table[rows[at]]
-        scores = np.add.reduceat(total, begins) / N if len(begins) else np.zeros((0, len(self.langs)), np.float32)
-        return np.where(self.allowed[scripts_of(data, starts)], scores, np.float32(-1e6))
+        """Scores of every word for the languages of its script; the others are not scored and stay far below."""
+        out = np.full((len(starts), len(self.langs)), np.float32(-1e6))
+        scripts, codes = scripts_of(data, starts), list(grams(data))
+        for script in np.unique(scripts).tolist():
+            words, (langs, columns) = np.flatnonzero(scripts == script), self.candidates(script)
+            at, begins, _ = gram_starts(starts[words], ends[words])
+            total = np.zeros((len(at), len(langs)), np.float32)
+            for rows in codes:
+                total += columns[rows[at]]
+            out[np.ix_(words, langs)] = np.add.reduceat(total, begins) / N
+        return out
 
     def labels(self, emissions: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Best language number of every word."""
@@ -134,7 +151,7 @@ class Model:
         weight = np.zeros((len(texts), len(self.langs)))
         np.add.at(weight, (np.repeat(np.arange(len(texts)), counts), label), ends - starts)
         top, total = weight.argmax(1), weight.sum(1)
-        return [(self.langs[k], float(weight[i, k] / total[i])) if total[i] and LETTER.search(texts[i]) else ("und", 0.0) for i, k in enumerate(top)]
+        return [(self.langs[k], float(weight[i, k] / total[i])) if total[i] and has_letter(texts[i]) else ("und", 0.0) for i, k in enumerate(top)]
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """[start, end) bytes of ``text`` and the language of every span of words."""
@@ -173,7 +190,7 @@ def train(docs: DataFrame, sample_docs: int = 4000, smoothing: float = 0.5, pena
             yield pd.DataFrame({"lang": lang, "feature": some.astype(np.int32), "n": sums[some]})
 
     counted = known.select("lang", "text").mapInPandas(count, "lang string, feature int, n long")
-    sums = counted.groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()  # bounded by the table
+    sums = counted.groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()  # at most N * BUCKETS rows a language
     seen = np.zeros((N * BUCKETS + n_scripts, len(langs)))
     seen[sums["feature"].to_numpy(), sums["lang"].map({v: k for k, v in enumerate(langs)}).to_numpy(dtype=np.int64)] = sums["n"]
     logs = np.zeros((N * BUCKETS, len(langs)), np.float32)
@@ -189,7 +206,7 @@ def train(docs: DataFrame, sample_docs: int = 4000, smoothing: float = 0.5, pena
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """Per row: doc_id, lang_pred, score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: N * BUCKETS rows
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # N * BUCKETS floats, 1 MB, a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
