@@ -2,13 +2,13 @@
 
 Every line has features of its bytes and words and of the lines before and after it; the
 chain has the labels bad and good. Training lines take their document's label, weights and
-transitions maximise the penalised likelihood (gradients by forward-backward over all
-training documents at once). A document's raw quality is the mean of its lines' marginals
+transitions maximise one penalised likelihood, in which both labels and all documents of a
+label weigh the same (gradients by forward-backward over all training documents at once). A document's raw quality is the mean of its lines' marginals
 for good, weighted by line length; two parameters fitted on the training documents turn it
 into the probability of label 1.
 
-Training uses at most about ``max_labelled`` labelled documents, chosen by the hash of
-doc_id, never a held-out one (crc32 of the id as text, modulo 4, equal to 2). Scoring reads
+Training uses at most about ``max_labelled`` labelled documents and the first ``max_lines``
+lines of each, chosen by the hash of doc_id, never a held-out one (crc32 of the id as text, modulo 4, equal to 2). Scoring reads
 every whole text. Features see the text alone.
 
 Defined results: a null text counts as empty, an empty text is one empty line and is scored
@@ -122,8 +122,8 @@ class Model:
         return ((x - self.mean) / self.scale) @ self.weights
 
 
-def marginals(unary: np.ndarray, trans: np.ndarray, walk: Padded) -> tuple[np.ndarray, np.ndarray, float]:
-    """Forward-backward: P(good) of every line, summed pair marginals, log partition (summed)."""
+def marginals(unary: np.ndarray, trans: np.ndarray, walk: Padded, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """Forward-backward: P(good) of every line, pair marginals summed with ``weights`` of documents, log partition (summed)."""
     e = np.exp(np.stack([np.zeros_like(unary), np.clip(unary, -30, 30)], 1))
     m = np.exp(trans)
     docs = len(walk.counts)
@@ -134,11 +134,11 @@ def marginals(unary: np.ndarray, trans: np.ndarray, walk: Padded) -> tuple[np.nd
         a = e[rows] if t == 0 else (alpha[rows - 1] @ m) * e[rows]
         s = a.sum(1)
         alpha[rows], scale[rows] = a / s[:, None], s
-    pairs = np.zeros((2, 2))
+    pairs, weight = np.zeros((2, 2)), np.ones(docs) if weights is None else weights[walk.order]
     for t in range(walk.steps - 1, 0, -1):
         n, rows = walk.at(t)
         back = e[rows] * beta[rows] / scale[rows][:, None]
-        pairs += (alpha[rows - 1].T @ back) * m
+        pairs += ((alpha[rows - 1] * weight[:n, None]).T @ back) * m
         beta[rows - 1] = back @ m.T
     good = alpha * beta
     good = good[:, 1] / good.sum(1)
@@ -157,20 +157,20 @@ def fit(x: np.ndarray, counts: np.ndarray, lengths: np.ndarray, labels: np.ndarr
     walk = Padded(counts)
     share = labels.mean()
     per_doc = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
-    w_line = np.repeat(per_doc / counts, counts)  # every document weighs the same, both labels too
+    w_doc = per_doc / counts  # of a document's log-likelihood: documents weigh the same, both labels too
+    w_line = np.repeat(w_doc, counts)
     total = w_line.sum()
     w, trans = np.zeros(z.shape[1]), np.zeros((2, 2))
     params = np.concatenate([w, trans.ravel()])
     m1, m2 = np.zeros_like(params), np.zeros_like(params)
     seen = np.zeros((2, 2))
-    steps = np.maximum(counts - 1, 0)
+    steps = w_doc * np.maximum(counts - 1, 0)
     seen[0, 0], seen[1, 1] = steps[labels == 0].sum(), steps[labels == 1].sum()
-    n_pairs = max(1.0, seen.sum())
     for k in range(1, rounds + 1):
         w, trans = params[:-4], params[-4:].reshape(2, 2)
-        good, pairs, _ = marginals(z @ w, trans, walk)
+        good, pairs, _ = marginals(z @ w, trans, walk, w_doc)
         grad_w = z.T @ ((y - good) * w_line) / total - ridge * w
-        grad_t = (seen - pairs) / n_pairs - 0.02 * trans
+        grad_t = (seen - pairs) / total - 0.02 * trans
         grad = np.concatenate([grad_w, grad_t.ravel()])
         m1 = 0.9 * m1 + 0.1 * grad
         m2 = 0.99 * m2 + 0.01 * grad**2
@@ -207,9 +207,10 @@ def score_texts(model: Model, texts: list[str]) -> np.ndarray:
     return 1 / (1 + np.exp(-(model.slope * raw + model.shift)))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 3000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 3000, max_lines: int = 2000) -> Model:
     """Fit on labelled documents of ``docs`` outside the held-out fold."""
     known = labels.select("doc_id", F.col("quality").cast("int").alias("label")).filter(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.min("label").alias("label"))  # rows that repeat a document count once, as bad if any is
     total = known.count()
     if total > max_labelled:
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(max_labelled / total * (1 << 40)))
@@ -217,7 +218,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 3000) -> Model
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [t or "" for t in batch["text"]]
+            texts = ["\n".join((t or "").split("\n", max_lines)[:max_lines]) for t in batch["text"]]
             if texts:
                 x, lengths, counts = line_features(texts)
                 cuts = np.cumsum(counts)[:-1]
