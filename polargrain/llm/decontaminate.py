@@ -1,7 +1,8 @@
 """Benchmark items inside documents: size-partitioned MinHash containment search.
 
-An item's words (letters and digits of the lower-cased text) give its distinct shingles of
-``width`` words (a shorter item is one shingle of all its words). With n shingles, an item is
+An item's words (runs of letters, marks and numbers of the lower-cased text, by Unicode
+category) give its distinct shingles of ``width`` words (a shorter item is one shingle of all
+its words). With n shingles, an item is
 contained if at least ``ceil(threshold * n)`` of them occur in the document, so at most
 ``n - ceil(threshold * n)`` are missing, and any ``n - ceil(threshold * n) + 1`` of them hold
 one that occurs. The item's signature is its bottom-k MinHash with that k: items of one size
@@ -23,11 +24,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,13 +40,20 @@ from polargrain.llm.common import table
 WORD = np.zeros(256, bool)
 WORD[list(range(48, 58)) + list(range(97, 123)) + list(range(128, 256))] = True
 STEP = np.uint64(0xD6E8FEB86659FD93)
+NO_WORD = regex.compile(r"[^\x00-\x7F\p{L}\p{M}\p{N}]+")
+
+
+def lowered(text: str | None) -> bytes:
+    """Lower-cased text in UTF-8; characters beyond ASCII that are no letter, mark or number become spaces."""
+    low = (text or "").lower()
+    return low.encode() if low.isascii() else NO_WORD.sub(" ", low).encode()
 
 
 class Words:
     """Words of several texts at once, and hashes of their shingles."""
 
     def __init__(self, texts: list[str | None]):
-        blobs = [(t or "").lower().encode() for t in texts]
+        blobs = [lowered(t) for t in texts]
         self.data = b"\n".join(blobs) + b"\n"
         flat = np.frombuffer(self.data, np.uint8)
         self.starts, self.ends = runs(WORD[flat])
@@ -71,43 +80,50 @@ class Words:
 
 @dataclass
 class Partition:
-    """Items of one width and one size class."""
+    """Items of one width and one size class: signature hashes, ascending, and the item of each."""
 
     width: int
     least_need: int
-    signature: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    items_of: dict[int, list[int]] = field(default_factory=dict)
+    signature: np.ndarray
+    item: np.ndarray
 
 
 class Index:
+    """Items as arrays: words of all texts, distinct shingle hashes item after item, signatures."""
+
     def __init__(self, items: list[tuple[int, str | None]], width: int = 5, threshold: str = "0.8"):
-        self.ids, self.shingles, self.hashes, self.need, self.width_of = [], [], [], [], []
-        parts: dict[tuple[int, int], list[int]] = {}
-        share = Fraction(threshold)
-        words = Words([t for _, t in items])
-        for k, (item_id, _) in enumerate(items):
-            n_words = int(words.first[k + 1] - words.first[k])
-            if not n_words:
-                continue
-            w = min(width, n_words)
+        share, words = Fraction(threshold), Words([t for _, t in items])
+        self.words = words
+        n_words = np.diff(words.first)
+        self.numbers = np.flatnonzero(n_words).tolist()  # items with words
+        self.ids = [items[k][0] for k in self.numbers]
+        self.width_of = [min(width, int(n_words[k])) for k in self.numbers]
+        rolled = {w: words.shingles(w) for w in set(self.width_of)}
+        self.size, self.need, hashes, parts = [], [], [], {}
+        for i, (k, w) in enumerate(zip(self.numbers, self.width_of, strict=True)):
             a, b = words.bounds(k, w)
-            hashes = words.shingles(w)[a:b]
-            texts = {words.text(i, w) for i in range(a, b)}
-            self.ids.append(item_id)
-            self.shingles.append(texts)
-            self.hashes.append(np.unique(hashes))
-            self.need.append(math.ceil(share * len(texts)))
-            self.width_of.append(w)
-            parts.setdefault((w, len(texts).bit_length()), []).append(len(self.ids) - 1)
+            hashes.append(np.unique(rolled[w][a:b]))
+            # equal hashes of different shingles would only shorten the list, so sizes count shingles
+            n = len(hashes[-1]) if len(hashes[-1]) == b - a else len(self.shingles(i))
+            self.size.append(n)
+            self.need.append(math.ceil(share * n))
+            parts.setdefault((w, n.bit_length()), []).append(i)
+        self.hashes = np.concatenate([np.zeros(0, np.uint64), *hashes])
+        self.begin = np.cumsum([0, *map(len, hashes)])
         self.partitions = []
         for (w, _), members in sorted(parts.items()):
-            part = Partition(w, min(self.need[i] for i in members))
-            for i in members:
-                # equal hashes of different shingles would only shorten the list, so k counts shingles
-                for h in self.hashes[i][: len(self.shingles[i]) - self.need[i] + 1].tolist():
-                    part.items_of.setdefault(h, []).append(i)
-            part.signature = np.array(sorted(part.items_of), np.uint64)
-            self.partitions.append(part)
+            least = [self.hashes_of(i)[: self.size[i] - self.need[i] + 1] for i in members]
+            signature, item = np.concatenate(least), np.repeat(np.array(members, np.int32), [len(h) for h in least])
+            order = np.argsort(signature, kind="stable")
+            self.partitions.append(Partition(w, min(self.need[i] for i in members), signature[order], item[order]))
+        words.hashes = np.zeros(0, np.uint64)  # not needed any more, and broadcast with the rest
+
+    def hashes_of(self, i: int) -> np.ndarray:
+        return self.hashes[self.begin[i] : self.begin[i + 1]]
+
+    def shingles(self, i: int) -> set[bytes]:
+        w = self.width_of[i]
+        return {self.words.text(at, w) for at in range(*self.words.bounds(self.numbers[i], w))}
 
     def match(self, texts: list[str | None]) -> list[tuple[int, int, int]]:
         """(text number, item number, shingles shared) of all contained items."""
@@ -123,13 +139,16 @@ class Index:
                 k = int(np.searchsorted(words.first, word, "right")) - 1
                 a, b = words.bounds(k, part.width)
                 if word < b and b - a >= part.least_need:
-                    found.update((k, i) for i in part.items_of[int(hashes[word])])
-        out = []
-        for k, i in sorted(found):
+                    until = int(np.searchsorted(part.signature, hashes[word], "right"))
+                    found.update((k, i) for i in part.item[int(at[word]) : until].tolist())
+        out, held = [], {}
+        for k, i in sorted(found, key=lambda x: (x[1], x[0])):
+            if i not in held:
+                held = {i: self.shingles(i)}
             w = self.width_of[i]
             a, b = words.bounds(k, w)
-            spots = a + np.flatnonzero(np.isin(rolled[w][a:b], self.hashes[i]))
-            shared = len(self.shingles[i].intersection(words.text(s, w) for s in spots.tolist()))
+            spots = a + np.flatnonzero(np.isin(rolled[w][a:b], self.hashes_of(i)))
+            shared = len(held[i].intersection(words.text(s, w) for s in spots.tolist()))
             if shared >= self.need[i]:
                 out.append((k, i, shared))
         return out
@@ -158,7 +177,7 @@ def _held(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[str | None]]]
         yield [i for i, _ in held], [t for _, t in held]
 
 
-def contained_items(docs: DataFrame, benchmark: DataFrame, width: int = 5, threshold: str = "0.8", block_chars: int = 20_000_000) -> DataFrame:
+def contained_items(docs: DataFrame, benchmark: DataFrame, width: int = 5, threshold: str = "0.8", block_chars: int = 8_000_000) -> DataFrame:
     """Pairs: doc_id, item_id, n_shared, n_item, containment."""
     spark, found = docs.sparkSession, None
     schema = "doc_id long, item_id long, n_shared long, n_item long, containment double"
@@ -172,7 +191,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, width: int = 5, thres
                 ids, rows = batch.column("doc_id").to_pylist(), []
                 for numbers, texts in _held(batch):
                     for k, i, n in index.match(texts):
-                        rows.append((ids[numbers[k]], index.ids[i], n, len(index.shingles[i]), n / len(index.shingles[i])))
+                        rows.append((ids[numbers[k]], index.ids[i], n, index.size[i], n / index.size[i]))
                 kinds = [pa.int64()] * 4 + [pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], ["doc_id", "item_id", "n_shared", "n_item", "containment"])
 
@@ -181,7 +200,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, width: int = 5, thres
     return found if found is not None else spark.createDataFrame([], schema)
 
 
-def without_items(docs: DataFrame, benchmark: DataFrame, width: int = 5, threshold: str = "0.8", block_chars: int = 20_000_000) -> DataFrame:
+def without_items(docs: DataFrame, benchmark: DataFrame, width: int = 5, threshold: str = "0.8", block_chars: int = 8_000_000) -> DataFrame:
     """The rows of ``docs``, all columns, whose text contains no benchmark item."""
     spark = docs.sparkSession
     for index in blocks(benchmark.select(F.col("item_id").cast("long"), "text"), width, threshold, block_chars):
@@ -204,8 +223,8 @@ def op6_decontamination(spark, sf_dir: str) -> DataFrame:
 
 
 OP6_SQL = r"""
-WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
-b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}]+') AS w FROM benchmark),
 i AS (SELECT item_id, least(5, len(w)) AS k, list_distinct(list_transform(range(1, len(w) - least(5, len(w)) + 2), lambda x: array_to_string(w[x:x + least(5, len(w)) - 1], ' '))) AS s FROM b WHERE len(w) > 0),
 ks AS (SELECT DISTINCT k FROM i),
 ds AS (SELECT doc_id, k, unnest(list_distinct(list_transform(range(1, len(w) - k + 2), lambda x: array_to_string(w[x:x + k - 1], ' ')))) AS g FROM d, ks),
