@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polargrain.llm.chunks import slices
-from polargrain.llm.common import cut, table
+from polargrain.llm.common import cut, release, table
 from polargrain.llm.components import components
 
 FAN = 8
@@ -237,16 +237,23 @@ def link_fingerprints(fps: DataFrame, radius: int = 2, hot: int = 500_000) -> Da
     """Edges (a, b) that connect exactly the distinct ``fp`` within ``radius`` bits, directly or by others.
 
     Keys with over ``hot`` fingerprints are not searched as one group: their fingerprints are
-    keyed anew by more and longer choices of blocks, which find every link among them.
+    keyed anew by more and longer choices of blocks, which find every link among them, until no
+    key is crowded (a key of all blocks but ``radius`` holds 2 ** (64 * radius / blocks) at most).
     """
-    keyed = _keyed(fps, radius, radius + 2)
-    crowded = keyed.groupBy("choice", "bits").count().filter(F.col("count") > hot).select("choice", "bits")
-    if crowded.isEmpty():
-        return _linked(keyed, radius)
-    crowded = cut(crowded, "crowded-keys")
-    apart = keyed.join(crowded, ["choice", "bits"], "left_anti").select("choice", "bits", "fp")
-    again = keyed.join(crowded, ["choice", "bits"], "left_semi").select("fp").distinct()
-    return _linked(apart, radius).unionByName(_linked(_keyed(again, radius, radius + 4), radius))
+    blocks, found = radius + 2, None
+    while True:
+        keyed = _keyed(fps, radius, blocks)
+        crowded = keyed.groupBy("choice", "bits").count().filter(F.col("count") > hot).select("choice", "bits")
+        last = blocks >= 8 * radius or crowded.isEmpty()
+        if not last:
+            crowded = cut(crowded, "crowded-keys")
+            apart = keyed.join(crowded, ["choice", "bits"], "left_anti").select("choice", "bits", "fp")
+            fps = cut(keyed.join(crowded, ["choice", "bits"], "left_semi").select("fp").distinct(), "crowded-codes")
+        links = _linked(keyed if last else apart, radius)
+        found = links if found is None else found.unionByName(links)
+        if last:
+            return found
+        blocks += 2
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, hot: int = 500_000) -> DataFrame:
@@ -259,6 +266,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, hot: int
     heads = named.groupBy("root").agg(F.min("least").alias("head"))
     linked = named.join(heads, "root").select(F.col("node").alias("fp"), "head")
     classes = cut(nodes.join(linked, "fp", "left").select("fp", F.coalesce("head", "least").alias("component_id")), "classes")
+    release(nodes, tree)
     return marked.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
