@@ -15,8 +15,17 @@ from polargrain.llm import decontaminate, exact_dedup, near_copies as similar_te
 from polargrain.llm.common import cut, release, table
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """From now on the session hands texts to Python workers in batches of about 4 MB.
+
+    All stages run in the same workers and JVMs, which keep the memory of their largest batch.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line CRF, trained on the labelled documents, does not reject."""
+    _small_batches(spark)
     model = quality_crf.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return quality_crf.accepted(docs, model)
 
@@ -33,6 +42,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
+    _small_batches(spark)
     return decontaminate.without_items(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -40,6 +50,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece ids of every document, and whether they decode to its text."""
     import public_tokenizers
 
+    _small_batches(spark)
     return piece_codec.encoded_documents(docs, str(public_tokenizers.path("piece_bpe_32k.model")))
 
 
@@ -58,7 +69,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``."""
     docs, held = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}", lean=True)
         if held is not None:
             release(held)
         held = docs

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,11 +34,33 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{whole.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends at durable files."""
+#: Settings while :func:`cut` is ``lean``: shuffle files go with the query, workers get small batches.
+LEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
+
+@contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """Run a block under ``wanted`` settings of the session; those before come back after it."""
+    before = {key: spark.conf.get(key) for key in wanted}
+    try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def cut(df: DataFrame, name: str, lean: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends at durable files.
+
+    ``lean`` deletes the write's shuffle files as soon as it is done, where else they stay until
+    the driver collects garbage, and hands texts to Python workers in small batches.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with settings(spark, LEAN if lean else {}):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
     return out

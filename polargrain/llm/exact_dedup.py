@@ -65,13 +65,13 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spread over all tasks. Only rows whose id and text both repeat are compared once more: the
     first of them by their JSON text stays; whole rows are shuffled for these alone.
     """
-    decided = cut(decisions(normalised(docs, id_col, text_col), salts), "exact-dedup").select(F.col("digest").alias("__stay_digest"), F.col("keep_id").alias("__stay_id"))
+    decided = cut(decisions(normalised(docs, id_col, text_col), salts), "exact-dedup", lean=True).select(F.col("digest").alias("__stay_digest"), F.col("keep_id").alias("__stay_id"))
     columns = docs.columns
     marked = docs.withColumn("__own_digest", F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256))
     stays = (marked["__own_digest"] == decided["__stay_digest"]) & marked[id_col].eqNullSafe(decided["__stay_id"])
     kept = marked.join(decided, stays, "left_semi")
     counted = marked.groupBy(F.col("__own_digest").alias("__again_digest"), F.col(id_col).alias("__again_id")).agg(F.count(F.lit(1)).alias("n"))
-    again = cut(counted.filter("n > 1").drop("n"), "rows-repeated")
+    again = cut(counted.filter("n > 1").drop("n"), "rows-repeated", lean=True)
     if again.isEmpty():
         return kept.select(*columns)
     same = (F.col("__own_digest") == F.col("__again_digest")) & F.col(id_col).eqNullSafe(F.col("__again_id"))

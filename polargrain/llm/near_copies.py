@@ -34,7 +34,7 @@ from polargrain.llm.bytework import Hasher, mix, runs
 from polargrain.llm.chunks import slices
 from polargrain.llm.common import cut, release
 from polargrain.llm.components import components
-from polargrain.llm.simhash import fingerprint_documents, link_fingerprints
+from polargrain.llm.simhash import fingerprints, link_fingerprints
 
 STEP = np.uint64(0xD6E8FEB86659FD93)
 BITS = 1024
@@ -117,12 +117,19 @@ def prefixes(texts: DataFrame, shingle: int, sample_docs: int) -> DataFrame:
     return texts.mapInArrow(run, "h long, n int, node long, at int")
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], block: int, binary: str = "") -> Iterator[list[np.ndarray]]:
-    """Columns of about ``block`` rows that hold whole runs of the first column; all are longs but ``binary``."""
+def _column(values: pa.Array) -> np.ndarray:
+    """Longs; bitmaps as one row of words each."""
+    if pa.types.is_list(values.type):
+        return np.asarray(values.flatten()).view(np.uint64).reshape(len(values), BITS // 64)
+    return np.asarray(values).astype(np.int64)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[list[np.ndarray]]:
+    """Columns of about ``block`` rows that hold whole runs of the first column."""
     held: list[list[np.ndarray]] = []
     size = 0
     for batch in batches:
-        held.append([np.array(c.to_pylist(), object) if name == binary else np.asarray(c).astype(np.int64) for name, c in zip(batch.schema.names, batch.columns, strict=True)])
+        held.append([_column(c) for c in batch.columns])
         size += batch.num_rows
         if size >= block:
             rows = [np.concatenate(c) for c in zip(*held, strict=True)]
@@ -141,7 +148,7 @@ def _suffice(n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray) -> np
     return 9 * np.minimum(n - at, m - to) >= 4 * (n + m)
 
 
-def _met(firsts: DataFrame, block: int = 500_000) -> DataFrame:
+def _met(firsts: DataFrame, block: int = 200_000) -> DataFrame:
     """(h, n, node, at, mate) of shingles that several documents meet under.
 
     The mate is the next document in an order drawn anew for every shingle, so that a large
@@ -162,7 +169,7 @@ def _met(firsts: DataFrame, block: int = 500_000) -> DataFrame:
     return firsts.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, n long, node long, at long, mate long")
 
 
-def _mixed(rooted: DataFrame, block: int = 500_000, small: int = 64) -> DataFrame:
+def _mixed(rooted: DataFrame, block: int = 200_000, small: int = 64) -> DataFrame:
     """Rows of the shingles that documents of several roots meet under.
 
     Groups of up to ``small`` rows lose the rows that cannot be similar to any other of theirs.
@@ -190,8 +197,8 @@ def _mixed(rooted: DataFrame, block: int = 500_000, small: int = 64) -> DataFram
     return rooted.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, n long, node long, at long, root long")
 
 
-def bitmaps(texts: DataFrame, shingle: int) -> DataFrame:
-    """(node, bits): every distinct shingle flips one of ``BITS`` bits.
+def marks(texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, n, fp, bits): how many distinct shingles, the SimHash, and ``BITS`` bits of which every shingle flips one.
 
     Two bitmaps differ in at most as many bits as their sets differ in shingles.
     """
@@ -202,10 +209,12 @@ def bitmaps(texts: DataFrame, shingle: int) -> DataFrame:
             for held in slices(rows, lambda r: len(r[1] or ""), 1_000_000):
                 hashes = shingle_hashes([t for _, t in held], shingle)
                 odd = [np.bincount((h % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1 for h in hashes]
-                packed = [np.packbits(o.astype(np.uint8)).tobytes() for o in odd]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], pa.int64()), pa.array(packed, pa.binary())], ["node", "bits"])
+                words = np.packbits(np.array(odd, np.uint8), axis=1).view(np.int64)
+                bits = pa.ListArray.from_arrays(np.arange(len(held) + 1, dtype=np.int32) * words.shape[1], words.ravel())
+                fps = fingerprints([t for _, t in held]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], pa.int64()), pa.array([len(h) for h in hashes], pa.int32()), pa.array(fps), bits], ["node", "n", "fp", "bits"])
 
-    return texts.mapInArrow(run, "node long, bits binary")
+    return texts.mapInArrow(run, "node long, n int, fp long, bits array<long>")
 
 
 def _dealt(rows: DataFrame, crowd: int) -> DataFrame:
@@ -219,18 +228,17 @@ def _dealt(rows: DataFrame, crowd: int) -> DataFrame:
     return whole.unionByName(cut_up)
 
 
-def _pairs(mixed: DataFrame, block: int = 50_000, chunk: int = 1_000_000, crowd: int = 5_000) -> DataFrame:
+def _pairs(mixed: DataFrame, block: int = 50_000, chunk: int = 250_000, crowd: int = 5_000) -> DataFrame:
     """(a, b) of documents of different roots that meet, whose shingles can still suffice and whose bitmaps agree enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = BITS // 64
-        for g, n, node, at, root, own, u, v, bits in _blocks(batches, block, "bits"):
+        for g, n, node, at, root, own, u, v, bits in _blocks(batches, block):
             group = np.cumsum(np.concatenate([[0], np.diff(g) != 0]))
             place = (group << 32) + n
             until = np.searchsorted(place, (group << 32) + 5 * n // 4, "right")
             count = until - np.arange(len(g)) - 1
             total = np.concatenate([[0], np.cumsum(count)])
-            codes = np.frombuffer(b"".join(bits), np.uint64).reshape(-1, words)
             i = 0
             while i < len(g):
                 j = max(i + 1, int(np.searchsorted(total, total[i] + chunk, "right")) - 1)
@@ -240,7 +248,7 @@ def _pairs(mixed: DataFrame, block: int = 50_000, chunk: int = 1_000_000, crowd:
                 x, y = x[fits], y[fits]
                 apart = np.zeros(len(x), np.int64)
                 for k in range(words):
-                    apart += np.bitwise_count(codes[x, k] ^ codes[y, k])
+                    apart += np.bitwise_count(bits[x, k] ^ bits[y, k])
                 near = 9 * apart <= n[x] + n[y]
                 x, y = node[x[near]], node[y[near]]
                 pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
@@ -252,8 +260,22 @@ def _pairs(mixed: DataFrame, block: int = 50_000, chunk: int = 1_000_000, crowd:
     return ordered.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
 
 
+def _plausible(pairs: DataFrame, marked: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sizes and bitmaps let them be similar."""
+    x = marked.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
+    y = marked.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
+    apart = sum((F.bit_count(F.col("xa")[k].bitwiseXOR(F.col("xb")[k])) for k in range(BITS // 64)), start=F.lit(0))
+    sizes = 5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")
+    return pairs.join(x, "a").join(y, "b").filter(sizes & (9 * apart <= F.col("na") + F.col("nb"))).select("a", "b").distinct()
+
+
+def _sent(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``ids``, to be sent to all executors while they are few (8 bytes each), so that the texts they are joined to stay where they are."""
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """The pairs (a, b) whose texts are similar."""
+    """The pairs (a, b) whose texts are similar. Only texts of ``pairs`` are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[str | None, set[bytes]] | None = None
@@ -266,16 +288,16 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
                 keep.append(9 * len(last[1] & other) >= 4 * (len(last[1]) + len(other)))
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    texts = texts.join(_sent(named), "node", "left_semi")
     x = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
     y = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
-def _first_candidates(texts: DataFrame, met: DataFrame, radius: int) -> DataFrame:
-    """(a, b) of the SimHash forest, of equal fingerprints and of mates."""
-    marked = cut(fingerprint_documents(texts.withColumnRenamed("node", "doc_id")), "fingerprints")
-    nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    equal = marked.join(nodes, "fp").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
+def _first_candidates(marked: DataFrame, nodes: DataFrame, met: DataFrame, radius: int) -> DataFrame:
+    """(a, b) of the SimHash forest, of equal fingerprints and of mates; ``nodes`` has the least node of every fingerprint."""
+    equal = marked.join(nodes, "fp").select(F.col("least").alias("a"), F.col("node").alias("b"))
     fp = lambda name, to: nodes.select(F.col("fp").alias(name), F.col("least").alias(to))
     close = link_fingerprints(nodes.select("fp"), radius).select(F.col("a").alias("p"), F.col("b").alias("q"))
     close = close.join(fp("p", "a"), "p").join(fp("q", "b"), "q").select("a", "b")
@@ -287,14 +309,19 @@ def _first_candidates(texts: DataFrame, met: DataFrame, radius: int) -> DataFram
 def representatives(docs: DataFrame, shingle: int = 5, radius: int = 2, sample_docs: int = 20_000, crowd: int = 5_000) -> DataFrame:
     """The rows of ``docs``, all columns, whose document is the first of its group."""
     texts = docs.select(node_of(F.col("doc_id"), F.col("text")).alias("node"), "text")
-    met = cut(_met(prefixes(texts, shingle, sample_docs)), "met")
-    links = cut(_confirmed(_first_candidates(texts, met, radius), texts, shingle), "links")
+    met = cut(_met(prefixes(texts, shingle, sample_docs)), "met", lean=True)
+    marked = cut(marks(texts, shingle), "marks", lean=True)
+    nodes = cut(marked.groupBy("fp").agg(F.min("node").alias("least")), "nodes", lean=True)
+    pairs = cut(_plausible(_first_candidates(marked, nodes, met, radius), marked), "pairs", lean=True)
+    links = cut(_confirmed(pairs, texts, shingle), "links", lean=True)
+    release(nodes, pairs)
     tree = components(links)
     rooted = met.join(tree, "node", "left").select("h", "n", "node", "at", F.coalesce("root", "node").alias("root"))
-    mixed = cut(_mixed(rooted), "mixed")
+    mixed = cut(_mixed(rooted), "mixed", lean=True)
     release(met, tree)
-    marked = bitmaps(texts.join(mixed.select("node").distinct(), "node", "left_semi"), shingle)
-    more = cut(_confirmed(_pairs(mixed.join(marked, "node").select(*mixed.columns, "bits"), crowd=crowd), texts, shingle), "links")
+    pairs = cut(_pairs(mixed.join(marked.select("node", "bits"), "node").select(*mixed.columns, "bits"), crowd=crowd), "pairs", lean=True)
+    release(mixed, marked)
+    more = cut(_confirmed(pairs, texts, shingle), "links", lean=True)
     gone = components(links.unionByName(more)).select(F.col("node").alias("__node"))
-    release(links, mixed, more)
-    return docs.withColumn("__at", node_of(F.col("doc_id"), F.col("text"))).join(gone, F.col("__at") == F.col("__node"), "left_anti").drop("__at")
+    release(links, pairs, more)
+    return docs.withColumn("__at", node_of(F.col("doc_id"), F.col("text"))).join(_sent(gone), F.col("__at") == F.col("__node"), "left_anti").drop("__at")

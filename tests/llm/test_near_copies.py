@@ -1,6 +1,7 @@
 import random
 
 from polargrain.llm import near_copies
+from polargrain.llm.common import cut
 
 
 def words(t):
@@ -61,3 +62,31 @@ def test_null_and_repeated_ids(spark):
     got = near_copies.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, got), key=repr) == sorted([(None, "other words stay"), (5, text), (5, text)], key=repr)
     assert near_copies.representatives(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for k in range(files.size()) if (name := files.apply(k).getName()).startswith("shuffle_") and name.endswith(".data")}
+
+
+def test_lean_cut_leaves_no_shuffle_files(spark):
+    before = shuffle_files(spark)
+    keys = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxBytesPerBatch")
+    held = [spark.conf.get(k) for k in keys]
+    out = cut(spark.range(1000).repartition("id"), "lean", lean=True)
+    assert not shuffle_files(spark) - before
+    assert out.count() == 1000
+    assert [spark.conf.get(k) for k in keys] == held
+
+
+def test_whole_texts_are_not_shuffled(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    docs = spark.createDataFrame([(1, text), (2, text + " x"), (3, "other words stay")], "doc_id long, text string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as on tables of any size
+    try:
+        out = near_copies.representatives(docs)
+        assert "BroadcastHashJoin" in (plan := out._jdf.queryExecution().executedPlan().toString()) and "hashpartitioning(__at" not in plan
+        assert sorted(r.doc_id for r in out.collect()) == [1, 3]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
