@@ -38,6 +38,7 @@ from polargrain.llm.simhash import fingerprints, link_fingerprints
 
 STEP = np.uint64(0xD6E8FEB86659FD93)
 BITS = 1024
+FEW = 250_000  # links that one task joins to groups (4 MB); more take distributed rounds
 WORD = np.ones(256, bool)
 WORD[list(b" \t\n\r\x0b\x0c")] = False
 
@@ -269,6 +270,11 @@ def _plausible(pairs: DataFrame, marked: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").filter(sizes & (9 * apart <= F.col("na") + F.col("nb"))).select("a", "b").distinct()
 
 
+def _gathered(rows: DataFrame, docs: int) -> DataFrame:
+    """``rows`` in at most a task for 5,000 of ``docs`` documents, or two a core: every task's file costs a commit and, on a local disk, several processes."""
+    return rows.coalesce(max(2 * rows.sparkSession.sparkContext.defaultParallelism, docs // 5_000))
+
+
 def _sent(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
     """``ids``, to be sent to all executors while they are few (8 bytes each), so that the texts they are joined to stay where they are."""
     return F.broadcast(ids) if ids.count() <= most else ids
@@ -309,19 +315,24 @@ def _first_candidates(marked: DataFrame, nodes: DataFrame, met: DataFrame, radiu
 def representatives(docs: DataFrame, shingle: int = 5, radius: int = 2, sample_docs: int = 20_000, crowd: int = 5_000) -> DataFrame:
     """The rows of ``docs``, all columns, whose document is the first of its group."""
     texts = docs.select(node_of(F.col("doc_id"), F.col("text")).alias("node"), "text")
-    met = cut(_met(prefixes(texts, shingle, sample_docs)), "met", lean=True)
+    total = texts.count()
+
+    def kept(rows: DataFrame, name: str) -> DataFrame:
+        return cut(_gathered(rows, total), name, lean=True)
+
+    met = kept(_met(prefixes(texts, shingle, sample_docs)), "met")
     marked = cut(marks(texts, shingle), "marks", lean=True)
-    nodes = cut(marked.groupBy("fp").agg(F.min("node").alias("least")), "nodes", lean=True)
-    pairs = cut(_plausible(_first_candidates(marked, nodes, met, radius), marked), "pairs", lean=True)
-    links = cut(_confirmed(pairs, texts, shingle), "links", lean=True)
+    nodes = kept(marked.groupBy("fp").agg(F.min("node").alias("least")), "nodes")
+    pairs = kept(_plausible(_first_candidates(marked, nodes, met, radius), marked), "pairs")
+    links = kept(_confirmed(pairs, texts, shingle), "links")
     release(nodes, pairs)
-    tree = components(links)
+    tree = components(links, few=FEW)
     rooted = met.join(tree, "node", "left").select("h", "n", "node", "at", F.coalesce("root", "node").alias("root"))
-    mixed = cut(_mixed(rooted), "mixed", lean=True)
+    mixed = kept(_mixed(rooted), "mixed")
     release(met, tree)
-    pairs = cut(_pairs(mixed.join(marked.select("node", "bits"), "node").select(*mixed.columns, "bits"), crowd=crowd), "pairs", lean=True)
+    pairs = kept(_pairs(mixed.join(marked.select("node", "bits"), "node").select(*mixed.columns, "bits"), crowd=crowd), "pairs")
     release(mixed, marked)
-    more = cut(_confirmed(pairs, texts, shingle), "links", lean=True)
-    gone = components(links.unionByName(more)).select(F.col("node").alias("__node"))
+    more = kept(_confirmed(pairs, texts, shingle), "links")
+    gone = components(links.unionByName(more), few=FEW).select(F.col("node").alias("__node"))
     release(links, pairs, more)
     return docs.withColumn("__at", node_of(F.col("doc_id"), F.col("text"))).join(_sent(gone), F.col("__at") == F.col("__node"), "left_anti").drop("__at")

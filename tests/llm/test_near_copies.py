@@ -90,3 +90,30 @@ def test_whole_texts_are_not_shuffled(spark):
         assert sorted(r.doc_id for r in out.collect()) == [1, 3]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_few_files_are_written_whatever_the_partitions(spark, monkeypatch):
+    """Every file of a local disk costs processes, which the driver's and executors' memory counts."""
+    from pathlib import Path
+
+    from polargrain.llm import components
+
+    text, files = " ".join(f"w{k}" for k in range(40)), []
+
+    def counted(df, name, **how):
+        out = cut(df, name, **how)
+        files.append((name, len(list(Path(out.cut_path.removeprefix("file:")).glob("part-*")))))
+        return out
+
+    monkeypatch.setattr(near_copies, "cut", counted)
+    monkeypatch.setattr(components, "cut", counted)
+    docs = spark.createDataFrame([(k, f"{text} x{k}" if k < 60 else f"own{k} words of one text") for k in range(120)], "doc_id long, text string")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert sorted(r.doc_id for r in near_copies.representatives(docs).collect()) == [0, *range(60, 120)]
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert len(files) <= 12 and max(n for _, n in files) <= 2 * spark.sparkContext.defaultParallelism, files

@@ -86,3 +86,11 @@ def test_crowded_keys_lose_no_link(spark):
         for c, w in zip(codes.view(np.int64).tolist(), want):
             groups.setdefault(w, set()).add(root.get(c, c))
         assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
+
+
+def test_few_edges_are_joined_as_by_rounds(spark):
+    rng = np.random.default_rng(12)
+    edges = [(int(a), int(b)) for a, b in rng.integers(-300, 300, (240, 2))] + [(k, k + 1) for k in range(1000, 1200)] + [(7, 7), (-(2**63), 2**63 - 1)]
+    table = spark.createDataFrame(edges + edges[:50], "a long, b long").repartition(5)
+    one, rounds = ({r.node: r.root for r in components(table, few=few).collect()} for few in (250_000, 0))
+    assert one == rounds and one[1200] == 1000 and one[2**63 - 1] == -(2**63)
