@@ -27,39 +27,41 @@ class ChunkCache:
         return ids
 
     def lookup(self, texts: Iterable[list[str]]) -> dict[str, bytes]:
-        """A mapping that holds every chunk of ``texts`` (lists of chunks).
+        """A mapping that gives the ids of every chunk of ``texts`` (lists of chunks) until the next call.
 
-        ``split`` may name the parts of a chunk whose ids follow one another; then only the
-        parts are kept.
+        ``split`` may name the parts of a chunk whose ids follow one another; then the parts
+        are tokenised, each once.
         """
-        found: dict[str, bytes] = {}
+        young = self.young
+        passing = _Passing(young)
         missing, joined, parts = [], [], set()
-        for chunk in set().union(*texts):
-            ids = self._cached(chunk)
-            if ids is not None:
-                found[chunk] = ids
-            elif self.split and len(own := self.split(chunk)) > 1:
+        for chunk in set().union(*texts).difference(young):
+            if self._cached(chunk) is not None:
+                continue
+            if self.split and len(own := self.split(chunk)) > 1:
                 joined.append((chunk, own))
                 parts.update(own)
             else:
                 missing.append(chunk)
-        known = found.keys() | set(missing)
-        for part in parts - known:
-            ids = self._cached(part)
-            if ids is not None:
-                found[part] = ids
-            else:
-                missing.append(part)
+        missing += [part for part in parts.difference(missing) if self._cached(part) is None]
         if missing:
             for chunk, ids in zip(missing, self.encode(missing), strict=True):
-                found[chunk] = ids
-                if len(chunk) <= self.longest:
-                    self.young[chunk] = ids
+                (young if len(chunk) <= self.longest else passing)[chunk] = ids
         for chunk, own in joined:
-            found[chunk] = b"".join(map(found.__getitem__, own))
-        if len(self.young) > self.limit:
-            self.old, self.young = self.young, {}
-        return found
+            (young if len(chunk) <= self.longest else passing)[chunk] = b"".join([passing[part] for part in own])
+        if len(young) > self.limit:
+            self.old, self.young = young, {}
+        return passing if passing else young
+
+
+class _Passing(dict):
+    """Ids of the chunks that are not kept; all others are looked up among those that are."""
+
+    def __init__(self, kept: dict[str, bytes]):
+        self.kept = kept
+
+    def __missing__(self, chunk: str) -> bytes:
+        return self.kept[chunk]
 
 
 def slices(rows: Iterable, weigh: Callable, most: int = 4_000_000, at_most: int = 2000) -> Iterable[list]:

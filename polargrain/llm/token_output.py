@@ -54,13 +54,45 @@ def _cache(tokenizer_path: str) -> ChunkCache:
 
         tok = Tokenizer.from_file(tokenizer_path)
 
-        def encode(chunks: list[str]) -> list[bytes]:
+        vocabulary = tok.get_vocab(with_added_tokens=True)
+        ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
+
+        def apart(chunks: list[str]) -> list[bytes]:
             return [np.asarray(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(chunks, add_special_tokens=False)]
 
+        def encode(chunks: list[str]) -> list[bytes]:
+            found = dict.fromkeys(chunks, b"")
+            words = [c for c in chunks if _is_word(c)]
+            for k in range(0, len(words), 500):
+                some = words[k : k + 500]
+                found.update(zip(some, _together(tok, ends, some) or apart(some), strict=True))
+            rest = [c for c in chunks if not _is_word(c)]
+            found.update(zip(rest, apart(rest), strict=True))
+            return [found[c] for c in chunks]
+
         _tokenizers[tokenizer_path] = ChunkCache(encode, limit=400_000, split=_parts)
     return _tokenizers[tokenizer_path]
 
 
+def _is_word(chunk: str) -> bool:
+    """Whether the chunk is letters that the normaliser leaves as they are: one token group."""
+    return len(chunk) <= 64 and chunk.isalpha() and chunk.islower() and (chunk.isascii() or max(chunk) <= "\xff")
+
+
+def _together(tok, ends: np.ndarray, words: list[str]) -> list[bytes] | None:
+    """Ids of every word, tokenised as one text; the last token of a group says that it ends one.
+
+    None where there are not as many groups as words (every word has one at least).
+    """
+    ids = np.asarray(tok.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+    stops = np.flatnonzero(ends[ids]) + 1
+    if len(stops) != len(words) or stops[-1] != len(ids):
+        return None
+    data, at = ids.tobytes(), [0, *(4 * stops).tolist()]
+    return [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
 def _parts(chunk: str) -> tuple[str, ...]:
     """Punctuation after a letter is a token group of its own, so it can be tokenised apart.
 

@@ -173,3 +173,27 @@ def test_character_map_and_alignment():
     assert normal("   ")[0] == b""
     out, align = piece_codec.Normalizer(blob, False, False, False)("f ①")
     assert out == b"g 1" and list(align) == [0, 1, 2, 5]
+
+
+def test_words_are_tokenised_together_and_chunks_only_once():
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    tok, rnd = Tokenizer.from_file(path), random.Random(9)
+    words = ["".join(rnd.choice("abcdeéßñªºµÿ") for _ in range(rnd.randrange(1, 12))) for _ in range(3000)]
+    texts = [" ".join(words), "x" * 5000 + " " + ". ".join(words) + ".", "y" * 100 + "! z"]
+    token_output._tokenizers.clear()
+    cache, asked = token_output._cache(path), []
+    encode = cache.encode
+    cache.encode = lambda chunks: asked.extend(chunks) or encode(chunks)
+    for _ in range(2):
+        for t, ids in zip(texts, token_output.encode_texts(texts, path, 1), strict=True):
+            assert ids.tolist() == [*tok.encode(t, add_special_tokens=False).ids, 1]
+    assert len(asked) == len(set(asked)) + 2  # only the two long chunks are asked for again
+    before, split = len(asked), cache.split
+    cache.split = lambda chunk: pytest.fail("a kept chunk was split again") if len(chunk) <= cache.longest else split(chunk)
+    token_output.encode_texts(texts[:1] + [". ".join(words) + "."], path, 1)
+    cache.split = split
+    assert len(asked) == before
